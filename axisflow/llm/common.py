@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,16 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: White space of the tokenizer libraries' patterns; str.split() also splits at the controls 1C to 1F.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+
+
+def chunks_of(text: str) -> list[str]:
+    """What lies between white space."""
+    return [c for c in _SPACE.split(text) if c] if any(c in text for c in _CONTROLS) else text.split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

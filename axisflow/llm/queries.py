@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from axisflow.llm import token_counts
+from axisflow.llm import packing, token_counts
 from axisflow.llm.common import table
 
 
@@ -12,8 +12,12 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts}
+    return {"op1_token_counts": op1_token_counts, "op7_best_fit_packing": op7_best_fit_packing}
 
 
 def oracle_sql() -> dict:

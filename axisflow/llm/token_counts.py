@@ -18,11 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import text_or_empty
-
-#: str.split() also splits at these four controls, which the vocabulary's pattern doesn't count as white space.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+from axisflow.llm.common import chunks_of, text_or_empty
 
 
 def _byte_letters() -> list[str]:
@@ -133,8 +129,7 @@ class TokenCounter(dict):
         return n
 
     def count(self, text: str) -> int:
-        chunks = _SPACE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
-        return sum(map(self.__getitem__, chunks))
+        return sum(map(self.__getitem__, chunks_of(text)))
 
 
 @functools.cache
