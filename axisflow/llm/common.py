@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,15 @@ def text_or_empty(text_col: str) -> Column:
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m
+
+
+def some_at_a_time(texts: pd.Series, chars: int = 1_000_000) -> Iterator[slice]:
+    """Slices of about so many characters, or of one text, so that memory doesn't follow the batch."""
+    at = total = 0
+    for i, n in enumerate(texts.str.len()):
+        if total and total + n > chars:
+            yield slice(at, i)
+            at, total = i, 0
+        total += int(n)
+    if len(texts) > at:
+        yield slice(at, len(texts))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import chunks_of, kept, text_or_empty
+from axisflow.llm.common import chunks_of, kept, some_at_a_time, text_or_empty
 
 
 class ChunkIds:
@@ -59,18 +59,6 @@ def chunk_ids(path: str, memo: int) -> ChunkIds:
     return ChunkIds(path, memo)
 
 
-def some_at_a_time(texts: pd.Series, chars: int = 1_000_000) -> Iterator[slice]:
-    """Slices of about so many characters, or of one text, so that memory doesn't follow the batch."""
-    at = total = 0
-    for i, n in enumerate(texts.str.len()):
-        if total and total + n > chars:
-            yield slice(at, i)
-            at, total = i, 0
-        total += int(n)
-    if len(texts) > at:
-        yield slice(at, len(texts))
-
-
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, memo: int) -> DataFrame:
     """One row per piece: the id, piece, start, length, ids_crc32. A narrow map."""
     kind = docs.schema[id_col].dataType.simpleString()

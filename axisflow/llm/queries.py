@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from axisflow.llm import packing, token_counts
+from axisflow.llm import packing, simhash, token_counts
 from axisflow.llm.common import table
 
 
@@ -16,8 +16,12 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4, seed=42)
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op7_best_fit_packing": op7_best_fit_packing}
+    return {"op1_token_counts": op1_token_counts, "op7_best_fit_packing": op7_best_fit_packing, "op8_simhash_near_dedup": op8_simhash_near_dedup}
 
 
 def oracle_sql() -> dict:
