@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from axisflow.llm import packing, simhash, token_counts
+from axisflow.llm import packing, pii, simhash, sql, token_counts, warc
 from axisflow.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_warc_normaliser(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"), least=100)
+
+
+def op3_pii_spans(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("scored")
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -20,9 +28,12 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4, seed=42)
 
 
+QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op7_best_fit_packing, op8_simhash_near_dedup)
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op7_best_fit_packing": op7_best_fit_packing, "op8_simhash_near_dedup": op8_simhash_near_dedup}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_warc_normaliser": sql.OP2}
