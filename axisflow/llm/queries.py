@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from axisflow.llm import packing, pii, simhash, sql, token_counts, warc
+from axisflow.llm import packing, pii, quality, simhash, sql, token_counts, urls, warc
 from axisflow.llm.common import table
 
 
@@ -20,6 +20,19 @@ def op3_pii_spans(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("scored")
 
 
+def op5_distribution_divergence(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+#: The rules of op6: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op6_url_range_join(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules, otherwise="allow")
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,7 +41,7 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4, seed=42)
 
 
-QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op7_best_fit_packing, op8_simhash_near_dedup)
+QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op5_distribution_divergence, op6_url_range_join, op7_best_fit_packing, op8_simhash_near_dedup)
 
 
 def queries() -> dict:
@@ -36,4 +49,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc_normaliser": sql.OP2}
+    return {"op2_warc_normaliser": sql.OP2, "op6_url_range_join": sql.OP6}
