@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from axisflow.llm import packing, pii, quality, simhash, sql, token_counts, urls, warc
+from axisflow.llm import decontam, packing, pii, quality, simhash, sql, token_counts, urls, warc
 from axisflow.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_pii_spans(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("scored")
 
 
+def op4_minhash_containment(spark, sf_dir):
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_distribution_divergence(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4, seed=42)
 
 
-QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op5_distribution_divergence, op6_url_range_join, op7_best_fit_packing, op8_simhash_near_dedup)
+QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op4_minhash_containment, op5_distribution_divergence, op6_url_range_join, op7_best_fit_packing, op8_simhash_near_dedup)
 
 
 def queries() -> dict:
