@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from axisflow.llm import decontam, packing, pii, quality, simhash, sql, token_counts, urls, warc
+from axisflow.llm import decontam, packing, pii, quality, simhash, sql, token_counts, toxicity, urls, warc
 from axisflow.llm.common import table
 
 
@@ -28,6 +29,12 @@ def op5_distribution_divergence(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_crf_toxicity(spark, sf_dir):
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    offsets = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return scored.withColumn("spans", offsets)
+
+
 #: The rules of op6: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -45,7 +52,7 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4, seed=42)
 
 
-QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op4_minhash_containment, op5_distribution_divergence, op6_url_range_join, op7_best_fit_packing, op8_simhash_near_dedup)
+QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op4_minhash_containment, op5_distribution_divergence, op6_url_range_join, op7_best_fit_packing, op8_simhash_near_dedup, op9_crf_toxicity)
 
 
 def queries() -> dict:
