@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op4_minhash_con
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
+    return {**{q.__name__: q for q in QUERIES}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -55,26 +56,56 @@ def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: Column, words: int = 4, seed: int = 42) -> Column:
-    """The 64-bit SimHash of a text as a signed long; 0 for a text without words."""
+#: Odd multipliers that make further 64-bit hashes of one.
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
-    @F.pandas_udf("long")
-    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def mixed(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th further hash of hashes."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX[i])
+    return h ^ (h >> np.uint64(32))
+
+
+@dataclass(frozen=True)
+class Check:
+    """A second, 256-bit fingerprint over shingles of `words` words; links must also be within `bits` of its bits.
+
+    Of two texts with a Jaccard similarity of J, each bit differs with a chance of arccos(2J / (1 + J)) / pi, which
+    for 0.8 is 39 bits of 256 on average, give or take 6, and for unlike texts about 128.
+    """
+
+    words: int = 5
+    bits: int = 48
+
+
+def fingerprints(text: Column, words: int = 4, seed: int = 42, check: Check | None = None) -> Column:
+    """struct(fp, l0 to l3): the 64-bit SimHash of a text and, with `check`, the longer one, as signed longs; 0 without words."""
+    names = ["fp", *(f"l{i}" for i in range(4 if check else 0))]
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in names))
+    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = [np.zeros(0, np.uint64)]
+            out = [[np.zeros(0, np.uint64)] for _ in names]
             for part in some_at_a_time(texts):
-                lists = [shingle_hashes(t, words, seed) for t in texts[part]]
-                sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-                flat = np.fromiter((h for own in lists for h in own), dtype=np.uint64, count=int(sizes.sum()))
-                out.append(majorities(flat, sizes))
-            yield pd.Series(np.concatenate(out).view(np.int64))
+                for n in {words, check.words} if check else {words}:
+                    lists = [shingle_hashes(t, n, seed) for t in texts[part]]
+                    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+                    flat = np.fromiter((h for own in lists for h in own), dtype=np.uint64, count=int(sizes.sum()))
+                    if n == words:
+                        out[0].append(majorities(flat, sizes))
+                    if check and n == check.words:
+                        for i in range(4):
+                            out[i + 1].append(majorities(mixed(flat, i), sizes))
+            yield pd.DataFrame({c: np.concatenate(x).view(np.int64) for c, x in zip(names, out)})
 
     return simhash(text)
 
 
-def blocks_for(n: int, bits: int) -> int:
-    """Blocks to split 64 bits into, so that a table's keys (all but `bits` of the blocks) outnumber n fingerprints."""
-    return next(b for b in range(bits + 1, 65) if b > 3 * bits or 64 * (b - bits) // b >= max(n, 1).bit_length())
+def blocks_for(n: int, bits: int, bucket: int) -> int:
+    """Blocks to split 64 bits into, so that a key (all but `bits` of the blocks) is shared by about `bucket` of n
+    fingerprints at most; more fingerprints get longer keys, and more tables of them."""
+    need = max(1, n // bucket).bit_length()
+    return next(b for b in range(bits + 1, 65) if b >= 3 * bits or 64 * (b - bits) // b >= need)
 
 
 def block_masks(blocks: int, bits: int) -> list[int]:
@@ -86,47 +117,53 @@ def block_masks(blocks: int, bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def spanning(group: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join whatever is linked within a group of distinct fingerprints: a breadth-first forest, so fewer
-    links than fingerprints however many pairs are close. A fingerprint is compared only with those not yet reached."""
-    links, rest = [], group
+def spanning(fp: np.ndarray, longs: np.ndarray, bits: int, check: Check | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links, as places, that join whatever is linked within a group: a breadth-first forest, so fewer links than
+    members however many pairs are close. A member is compared only with those not yet reached."""
+    links, rest = [], np.arange(len(fp))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= bits
+            near = np.bitwise_count(fp[rest] ^ fp[x]) <= bits
+            if check and near.any():
+                near[near] = np.bitwise_count(longs[rest[near]] ^ longs[x]).sum(axis=1) <= check.bits
             if near.any():
                 reached = rest[near]
                 links.append((np.full(len(reached), x), reached))
-                queue.extend(reached)
+                queue.extend(reached.tolist())
                 rest = rest[~near]
     return links
 
 
-def links_of(fingerprints: DataFrame, bits: int, n: int) -> DataFrame:
-    """a, b: links within `bits` bits that connect what is connected; fingerprints: a column fp of n distinct longs."""
-    masks = block_masks(blocks_for(n, bits), bits)
-    tables = F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"), F.col("fp").alias("fp")) for i, m in enumerate(masks))))
-    keyed = fingerprints.select(tables.alias("t")).select("t.*")
+def links_of(nodes: DataFrame, bits: int, n: int, bucket: int, check: Check | None) -> DataFrame:
+    """a, b: links between nodes that connect what is connected. nodes: node, fp (and l0 to l3), n distinct rows."""
+    own = ["node", "fp", *(f"l{i}" for i in range(4 if check else 0))]
+    masks = block_masks(blocks_for(n, bits, bucket), bits)
+    keyed = nodes.select(*own, F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("table", "key"))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((3, 0), dtype=np.int64)
+        names = ["table", "key", *own]
+        held = np.zeros((len(names), 0), dtype=np.int64)
 
         def pairs(rows: np.ndarray) -> pd.DataFrame:
-            out = [(np.zeros(0, np.uint64),) * 2]
             cuts = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-            starts, fp = np.concatenate([[0], cuts]), rows[2].view(np.uint64)
+            starts, node, fp = np.concatenate([[0], cuts]), rows[2], rows[3].view(np.uint64)
+            longs = rows[4:].view(np.uint64).T
             sizes = np.diff(np.append(starts, rows.shape[1]))
             two = starts[sizes == 2]
             close = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-            out.append((fp[close], fp[close + 1]))
+            if check:
+                close = close[np.bitwise_count(longs[close] ^ longs[close + 1]).sum(axis=1) <= check.bits]
+            out = [(node[close], node[close + 1])]
             for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                out += spanning(fp[at : at + size], bits)
-            a, b = (np.concatenate(c).view(np.int64) for c in zip(*out))
+                here = slice(at, at + size)
+                out += [(node[here][a], node[here][b]) for a, b in spanning(fp[here], longs[here], bits, check)]
+            a, b = map(np.concatenate, zip(*out))
             return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch[c].to_numpy(np.int64) for c in ("table", "key", "fp")])], axis=1)
+            rows = np.concatenate([held, np.stack([batch[c].to_numpy(np.int64) for c in names])], axis=1)
             if not rows.shape[1]:
                 continue
             last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])  # its group may go on
@@ -136,22 +173,25 @@ def links_of(fingerprints: DataFrame, bits: int, n: int) -> DataFrame:
         if held.shape[1]:
             yield pairs(held)
 
-    return keyed.repartition("table", "key").sortWithinPartitions("table", "key", "fp").mapInPandas(link, "a long, b long").distinct()
+    return keyed.repartition("table", "key").sortWithinPartitions("table", "key").mapInPandas(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, bucket: int = 1, check: Check | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, fingerprint (16 hex digits), component_id.
 
-    Fingerprints that differ in at most `bits` bits are linked; component_id is the smallest id that links reach, its
-    own included. Null and empty texts have the fingerprint zero, which links like any other. Repeated rows keep their
-    rows; null ids are never a component_id unless a component has no other; other columns aren't read; an empty table
-    gives no rows. Copies are one fingerprint before any join, and a group of close fingerprints gives a spanning
-    forest, not its pairs, so neither a third of all rows being copies nor thousands of near copies adds links.
+    Fingerprints that differ in at most `bits` bits are linked, if their longer ones pass `check` too; component_id is
+    the smallest id that links reach, its own included. Null and empty texts have the fingerprint zero, which links
+    like any other. Repeated rows keep their rows; null ids are never a component_id unless a component has no other;
+    other columns aren't read; an empty table gives no rows. Copies are one node before any join, and a group of close
+    fingerprints gives a spanning forest, not its pairs, so neither a third of all rows being copies nor thousands of
+    near copies adds links.
     """
-    prints = kept(docs.select(F.col(id_col).alias("_id"), fingerprint(text_or_empty(text_col), words, seed).alias("fp")))
-    nodes = kept(prints.groupBy("fp").agg(F.min("_id").alias("least")))
-    roots = components(links_of(nodes.select("fp"), bits, nodes.count()), "a", "b")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = ["fp", *(f"l{i}" for i in range(4 if check else 0))]
+    prints = docs.select(F.col(id_col).alias("_id"), fingerprints(text_or_empty(text_col), words, seed, check).alias("f")).select("_id", "f.*")
+    prints = kept(prints.withColumn("node", F.xxhash64(*names) if check else F.col("fp")))
+    nodes = kept(prints.groupBy("node").agg(F.min("_id").alias("least"), *(F.first(c).alias(c) for c in names)))
+    roots = components(links_of(nodes, bits, nodes.count(), bucket, check), "a", "b")
+    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(ids, "root").select("node", "component_id")
+    return prints.join(named, "node").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
