@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from axisflow.llm import decontam, packing, pii, quality, simhash, sql, token_counts, toxicity, urls, warc
+from axisflow.llm import decontam, lm, packing, pii, quality, simhash, sql, token_counts, toxicity, urls, warc
 from axisflow.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op9_crf_toxicity(spark, sf_dir):
     return scored.withColumn("spans", offsets)
 
 
+def op10_elias_fano_lm(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 #: The rules of op6: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -53,7 +57,7 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4, seed=42)
 
 
-QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op4_minhash_containment, op5_distribution_divergence, op6_url_range_join, op7_best_fit_packing, op8_simhash_near_dedup, op9_crf_toxicity)
+QUERIES = (op1_token_counts, op2_warc_normaliser, op3_pii_spans, op4_minhash_containment, op5_distribution_divergence, op6_url_range_join, op7_best_fit_packing, op8_simhash_near_dedup, op9_crf_toxicity, op10_elias_fano_lm)
 
 
 def queries() -> dict:
