@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,10 +23,18 @@ from pyspark.sql import functions as F
 from axisflow.llm.common import chunks_of, kept, some_at_a_time, text_or_empty
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian 32-bit ids."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class ChunkIds:
     """Ids of texts from the library, asked once for each chunk between white space; little-endian 32-bit bytes.
 
-    Right only for vocabularies that drop white space before anything else is decided, which is checked.
+    Right only for vocabularies that drop white space and case before anything else is decided, which is checked.
     """
 
     def __init__(self, path: str, memo: int):
@@ -32,23 +42,37 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.raw("a bc\nd") != self.raw("a") + self.raw("bc") + self.raw("d"):
-            raise ValueError("the vocabulary keeps white space; chunks can't be told apart")
-        self.memo, self.known = memo, {}
+        if self.raw("a bc\nd") != self.raw("a") + self.raw("bc") + self.raw("d") or self.raw("Abc.") != self.raw("abc") + self.raw("."):
+            raise ValueError("the vocabulary keeps white space or case, or joins marks to letters; chunks can't be told apart")
+        self.memo, self.known, self.pieces = memo, {}, {}
 
     def raw(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, ...]:
+        """The chunk, or its letters in lower case and the marks after them, which the vocabulary's pattern parts.
+
+        Letters below U+0180 but the dotted capital I have one lower case each and compose with nothing.
+        """
+        core = chunk.rstrip(".,;:!?|*&%$#")
+        if core and core.isalpha() and max(core) < "\u0180" and "\u0130" not in core:
+            return (core.lower(), chunk[len(core) :]) if len(core) < len(chunk) else (core.lower(),)
+        return (chunk,)
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         chunks = [chunks_of(t) for t in texts]
         wanted = set().union(*chunks)
-        if new := list(wanted - self.known.keys()):
-            if len(self.known) + len(new) > self.memo:
-                self.known.clear()
-                new = list(wanted)
-            for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[chunk] = np.asarray(got.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
+        if len(self.known) + len(wanted) > self.memo:
+            self.known.clear(), self.pieces.clear()
+        known, pieces = self.known, self.pieces
+        split = {c: self.parts(c) for c in wanted - known.keys()}
+        if new := list(set().union(*split.values()) - pieces.keys()):
+            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                pieces[piece] = as_bytes(got.ids)
+        for chunk, own in split.items():
+            known[chunk] = b"".join([pieces[p] for p in own])
+        get = known.__getitem__
         for c in chunks:
             yield b"".join(map(get, c))
 
