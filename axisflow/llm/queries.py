@@ -27,7 +27,7 @@ def op4_minhash_containment(spark, sf_dir):
 
 
 def op5_distribution_divergence(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op9_crf_toxicity(spark, sf_dir):
@@ -65,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc_normaliser": sql.OP2, "op6_url_range_join": sql.OP6}
+    return {"op2_warc_normaliser": sql.OP2, "op4_minhash_containment": sql.OP4, "op5_distribution_divergence": sql.op5(), "op6_url_range_join": sql.OP6}

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pytest
 import regex
 import xxhash
 
-from axisflow.llm import decontam, simhash
+from axisflow.llm import decontam, queries, simhash
 from axisflow.llm.graph import components
+from tests.compare import oracle, same
 from tests.llm.conftest import LONG, ODD
 
 SF = "/root/testdata/sf0.001"
@@ -174,3 +176,8 @@ def test_sketches_are_long_enough():
         block, least = 2 << c, (1 << c) // 2 + 1
         k = decontam.sketch_length(block, least, 0.8, 1e-6)
         assert 0 < k <= block and (k == block or (1 - k / block) ** -(-8 * least // 10) <= 1e-6)
+
+
+@pytest.mark.parametrize("name", ["op4_minhash_containment", "op5_distribution_divergence"])
+def test_query_equals_sql(spark, name):
+    same(queries.queries()[name](spark, SF).toPandas(), oracle(SF, queries.oracle_sql()[name]))
