@@ -25,6 +25,13 @@ def chunks_of(text: str) -> list[str]:
     return [c for c in _SPACE.split(text) if c] if any(c in text for c in _CONTROLS) else text.split()
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte: itself where it's printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import chunks_of, kept, some_at_a_time, text_or_empty
+from axisflow.llm.common import byte_letters, chunks_of, kept, some_at_a_time, text_or_empty
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -45,10 +45,16 @@ class ChunkIds:
         if self.raw("a bc\nd") != self.raw("a") + self.raw("bc") + self.raw("d") or self.raw("Abc.") != self.raw("abc") + self.raw("."):
             raise ValueError("the vocabulary keeps white space or case, or joins marks to letters; chunks can't be told apart")
         self.memo, self.known, self.pieces = memo, {}, {}
+        self.letters = dict(enumerate(byte_letters()))
 
     def raw(self, text: str) -> bytes:
         return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Whether it is one piece whatever its case: these go to the library's merges without its normalisers."""
+        return word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
+
     @staticmethod
     def parts(chunk: str) -> tuple[str, ...]:
         """The chunk, or its letters in lower case and the marks after them, which the vocabulary's pattern parts.
@@ -56,7 +62,7 @@ class ChunkIds:
         Letters below U+0180 but the dotted capital I have one lower case each and compose with nothing.
         """
         core = chunk.rstrip(".,;:!?|*&%$#")
-        if core and core.isalpha() and max(core) < "\u0180" and "\u0130" not in core:
+        if ChunkIds.plain(core):
             return (core.lower(), chunk[len(core) :]) if len(core) < len(chunk) else (core.lower(),)
         return (chunk,)
 
@@ -67,8 +73,13 @@ class ChunkIds:
             self.known.clear(), self.pieces.clear()
         known, pieces = self.known, self.pieces
         split = {c: self.parts(c) for c in wanted - known.keys()}
-        if new := list(set().union(*split.values()) - pieces.keys()):
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        new = set().union(*split.values()) - pieces.keys()
+        words = [p for p in new if self.plain(p)]
+        for p in words:
+            letters = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            pieces[p] = as_bytes([t.id for t in self.tokenizer.model.tokenize(letters)])
+        if rest := list(new.difference(words)):
+            for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
                 pieces[piece] = as_bytes(got.ids)
         for chunk, own in split.items():
             known[chunk] = b"".join([pieces[p] for p in own])

@@ -18,14 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import chunks_of, text_or_empty
-
-
-def _byte_letters() -> list[str]:
-    """The printable letter that stands for each byte: itself where it's printable, else one from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
+from axisflow.llm.common import byte_letters, chunks_of, text_or_empty
 
 
 def merged_length(symbols: list[int], pairs: dict[int, int]) -> int:
@@ -88,7 +81,7 @@ class TokenCounter(dict):
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.pairs[ids[a] << 20 | ids[b]] = rank << 20 | ids[a + b]
-        letters = _byte_letters()
+        letters = byte_letters()
         self.inner, self.last = [ids[c] for c in letters], [ids[c + end] for c in letters]
         self.nfc, self.lower = any(s["type"] == "NFC" for s in steps), any(s["type"] == "Lowercase" for s in steps)
         self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall
