@@ -89,7 +89,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, threshold: floa
         at = F.when(F.size("_s") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(F.lit(c).alias("_class"), F.lit(k).alias("_k"), F.lit(block).alias("_block"), i.alias("_i")))
 
-    none = docs.select(F.col(id_col).alias("_id")).join(held.select("_item"), F.lit(False))
+    none = docs.select(F.col(id_col).alias("_id"), F.lit(None).cast(items.schema[item_col].dataType).alias("_item")).where(F.lit(False))
     if classes:
         # exploding the numbers, not the blocks, keeps the hashes a stored column that slices only refer to
         blocks = hashed.select("_id", "_s", F.inline(F.concat(*map(block_starts, classes))))

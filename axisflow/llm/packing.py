@@ -96,7 +96,7 @@ def chunk_ids(path: str, memo: int) -> ChunkIds:
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, memo: int) -> DataFrame:
     """One row per piece: the id, piece, start, length, ids_crc32. A narrow map."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,8 +112,10 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
                         row.append(i), piece.append(k), start.append(at), length.append(len(own) // 4), crc.append(zlib.crc32(own))
             yield pd.DataFrame({id_col: batch[id_col].iloc[row].to_numpy(), "piece": np.asarray(piece, "int32"), "start": np.asarray(start, "int64"), "length": np.asarray(length, "int64"), "ids_crc32": np.asarray(crc, "int64")})
 
-    source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
-    return source.mapInPandas(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    # ids travel as text: pandas would make floats of whole numbers beside a null
+    source = docs.select(F.col(id_col).cast("string").alias(id_col), text_or_empty(text_col).alias("text"))
+    found = source.mapInPandas(cut, f"`{id_col}` string, piece int, start long, length long, ids_crc32 long")
+    return found.withColumn(id_col, F.col(id_col).cast(kind))
 
 
 class LengthSums:
