@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from axisflow.errors import AxisflowError
+from axisflow.functions.session import session
 from axisflow.operators.groups import Environment
 from axisflow.plans import pipeline
 from axisflow.sources.config import ConfigStore
@@ -31,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("axisflow").getOrCreate()
+    spark = spark or session()
     store = ConfigStore(spark, a.store)
     try:
         if a.command == "report":

@@ -1 +1 @@
-
+"""Helpers without tables of their own."""

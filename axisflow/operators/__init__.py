@@ -1 +1 @@
-
+"""Operators on tables, tensors and models."""

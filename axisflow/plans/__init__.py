@@ -1 +1 @@
-
+"""From configurations and query names to plans."""

@@ -1 +1 @@
-
+"""Readers, generators, sinks and configurations."""
