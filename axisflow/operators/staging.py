@@ -5,11 +5,12 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisflow.errors import InvalidConfig, NoInputColumns, NoTransformationParams, NoTransformationsDefined, TransformationParamsWrong
 from axisflow.functions.lineage import kept
+from axisflow.operators.sorting import with_positions
 from axisflow.sources.config import Step
 from axisflow.sources.tables import RID
 
@@ -19,21 +20,25 @@ FEW = 100_000
 NUMBER = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?)\z"
 
 
-def dictionary(df: DataFrame, column: str, order: str = RID) -> DataFrame:
-    """category, id: a column's values numbered from 0 in order of their first row.
+def _numbered(df: DataFrame, column: str, order: str) -> tuple[DataFrame, bool]:
+    """The dictionary, and whether it has at most FEW entries."""
+    first = kept(df.groupBy(F.col(f"`{column}`").alias("category")).agg(F.min(order).alias("first")))
+    if first.count() <= FEW:
+        return first.select("category", (F.row_number().over(Window.orderBy("first")) - 1).alias("id")), True
+    return kept(with_positions(first, "first").select("category", F.col("pos").cast("int").alias("id"))), False
+
 
-    Only distinct values are sorted: first rows come from map-side minima. Numbering them is one task's work over the
-    dictionary, which holds as many rows as the column has categories. Null is a category."""
-    from axisflow.operators.sorting import with_positions
+def dictionary(df: DataFrame, column: str, order: str = RID) -> DataFrame:
+    """category, id: a column's values numbered from 0 in order of their first row. Null is a category.
 
-    first = df.groupBy(F.col(f"`{column}`").alias("category")).agg(F.min(order).alias("first"))
-    return with_positions(first, "first").select("category", F.col("pos").cast("int").alias("id"))
+    Only distinct values are numbered: first rows come from map-side minima. Up to FEW of them are one window, more
+    get their places from a range-partitioned sort."""
+    return _numbered(df, column, order)[0]
 
 
 def encode(df: DataFrame, column: str, order: str = RID) -> tuple[DataFrame, DataFrame]:
     """df with the column as category ids, and the dictionary."""
-    words = kept(dictionary(df, column, order))
-    small = words.count() <= FEW
+    words, small = _numbered(df, column, order)
     keyed = words.select(F.col("category").alias("__category"), F.col("id").alias("__id"))
     joined = df.join(F.broadcast(keyed) if small else keyed, F.col(f"`{column}`").eqNullSafe(F.col("__category")), "left")
     return joined.select(*(F.col("__id").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns)), words
