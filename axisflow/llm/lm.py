@@ -167,19 +167,22 @@ def pair_parts(body: bytes, number: np.ndarray, count: np.ndarray, shards: int,
     share = np.log10((count + 1.0) / (tokens + distinct + 1))
     summary = packed(held, sizes, sums_by((count > 0)[own].astype(np.int64), sizes), sums_by(share[own], sizes))
     first = np.cumsum(sizes) - sizes
-    before = np.empty(len(own), dtype=np.int64)
-    before[1:] = number[own[:-1]]
-    before[first] = BEGIN
-    seen = np.empty(len(own), dtype=np.int64)
-    seen[1:] = count[own[:-1]]
-    seen[first] = texts
-    word, doc = number[own], np.repeat(np.arange(len(sizes)), sizes)
-    shard = spread(before)
-    hot = seen * 8 * shards > tokens
-    shard[hot] = spread(shard[hot] ^ spread(word[hot] + 1))
-    shard = (shard % np.uint64(shards)).astype(np.int64)
+    # the arrays over tokens are what a task's memory goes to: 32 bits where numbers allow it
+    kind = np.int32 if len(number) and max(number.max(), count.max(), texts) < 1 << 31 else np.int64
+    number, count = number.astype(kind), count.astype(kind)
+    before, seen = np.empty(len(own), dtype=kind), np.empty(len(own), dtype=kind)
+    before[1:], seen[1:] = number[own[:-1]], count[own[:-1]]
+    before[first], seen[first] = BEGIN, texts
+    word = number[own]
+    mixed = spread(before)
+    hot = seen.astype(np.int64) * (8 * shards) > tokens
+    mixed[hot] = spread(mixed[hot] ^ spread(word[hot] + 1))
+    shard = (mixed % np.uint64(shards)).astype(np.int32)
+    del mixed, hot
     order = np.lexsort((word, before, shard))
-    shard, before, word, doc, seen, known = shard[order], before[order], word[order], doc[order], seen[order], count[own][order]
+    shard, before, word, seen, known = shard[order], before[order], word[order], seen[order], count[own[order]]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    del own, order
     new_context = np.concatenate([[True], (before[1:] != before[:-1]) | (shard[1:] != shard[:-1])])
     new_pair = new_context | np.concatenate([[True], word[1:] != word[:-1]])
     pair_at = np.flatnonzero(new_pair)
