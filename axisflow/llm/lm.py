@@ -64,8 +64,8 @@ def sums_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def blocks_of(docs: DataFrame, chars: int, folds: int, out_fold: int, id_col: str, text_col: str) -> DataFrame:
     """block, ids, trained (training texts), body (packed: held, tokens per text, tokens), words (packed: hashes, training counts)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), (crc_mod(id_col, folds) == out_fold).alias("held"), text_or_empty(text_col).alias("text"))
+    # ids travel as text: pandas would make floats of whole numbers beside a null
+    source = docs.select(F.col(id_col).cast("string").alias("id"), (crc_mod(id_col, folds) == out_fold).alias("held"), text_or_empty(text_col).alias("text"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number: dict[bytes, int] = {}
@@ -102,7 +102,7 @@ def blocks_of(docs: DataFrame, chars: int, folds: int, out_fold: int, id_col: st
         if ids:
             yield block()
 
-    return source.mapInPandas(read, f"block long, ids array<{kind}>, trained long, body binary, words binary")
+    return source.mapInPandas(read, "block long, ids array<string>, trained long, body binary, words binary")
 
 
 def count_words(blocks: DataFrame, shards: int) -> DataFrame:
@@ -245,7 +245,7 @@ def score_texts(docs: DataFrame, mu: float = 1000.0, folds: int = 7, out_fold: i
     A task holds one block (about `block_chars` characters or one text) or one shard; without `shards`, there are as many
     as shuffle partitions and at least one for 8 million training tokens. The driver gets three numbers a shard.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     blocks = written(blocks_of(docs, block_chars, folds, out_fold, id_col, text_col), "lm-blocks")
     parallel = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = kept(count_words(blocks, parallel))
@@ -287,7 +287,7 @@ def score_texts(docs: DataFrame, mu: float = 1000.0, folds: int = 7, out_fold: i
 
     grouped = words.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("shard", "found")).alias("found"))
     joined = blocks.select("block", "ids", "body").join(grouped, "block")
-    pairs = joined.mapInPandas(emit, f"shard int, block long, ids array<{kind}>, part binary")
-    answered = pairs.repartition("shard").sortWithinPartitions("shard").mapInPandas(answer, f"block long, ids array<{kind}>, part binary")
-    done = answered.repartition("block").sortWithinPartitions("block").mapInPandas(total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return done.withColumnRenamed("id", id_col)
+    pairs = joined.mapInPandas(emit, "shard int, block long, ids array<string>, part binary")
+    answered = pairs.repartition("shard").sortWithinPartitions("shard").mapInPandas(answer, "block long, ids array<string>, part binary")
+    done = answered.repartition("block").sortWithinPartitions("block").mapInPandas(total, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return done.select(F.col("id").cast(kind).alias(id_col), *done.columns[1:])
