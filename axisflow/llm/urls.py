@@ -68,16 +68,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_
     ://, has an empty host and path, which no rule fits; rules with a null or an empty host are left out, a null path
     is empty. Repeated rows and null ids keep their rows; other columns aren't read; an empty table gives no rows.
 
-    Parts of the key space are cut at quantiles of at most `sample` rows, the only ones that reach the driver: a
+    Parts of the key space are cut at quantiles of about `sample` rows, evenly drawn, the only ones that reach the driver: a
     smaller or odd sample makes parts uneven, never results wrong. A cut may fall within one key (rows have a salt), so
     a host with a third of all pages is spread; a rule goes to every part that its interval touches, which for all
     rules together is their number and the parts times the depth of nesting. The sweep holds one stack.
     """
-    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
-    urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType
+    # ids travel as text: pandas would make floats of whole numbers beside a null
+    urls = pages.select(F.col(id_col).cast("string").alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = urls.withColumns({"key": key_of(F.col("host")), "salt": F.xxhash64("id", F.monotonically_increasing_id())})
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = sorted((r["key"], r["salt"]) for r in urls.select("key", "salt").orderBy(F.abs(F.hash("salt"))).limit(sample).collect())
+    one_in = max(1, urls.count() // sample)
+    seen = sorted((r["key"], r["salt"]) for r in urls.select("key", "salt").where(F.pmod(F.xxhash64("salt"), F.lit(one_in)) == 0).limit(4 * sample).collect())
     cuts = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
 
     @F.pandas_udf("int")
@@ -92,6 +94,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_
     rules = rules.withColumns({"key": key_of(F.col("host")), "rule": F.concat("host", "path")})
     null = lambda t: F.lit(None).cast(t)
     rows = urls.select(part_of("key", "salt").alias("part"), "key", F.lit(1).alias("kind"), "id", "host", "path", null("string").alias("rule"), null("string").alias("verdict"))
-    rows = rows.unionAll(rules.select(F.explode(parts_of("key")).alias("part"), "key", F.lit(0).alias("kind"), null(kind).alias("id"), "host", "path", "rule", "verdict"))
-    swept = rows.repartition("part").sortWithinPartitions("part", "key", "kind").mapInPandas(sweep, f"id {kind}, host string, path string, rule string, verdict string")
-    return swept.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
+    rows = rows.unionAll(rules.select(F.explode(parts_of("key")).alias("part"), "key", F.lit(0).alias("kind"), null("string").alias("id"), "host", "path", "rule", "verdict"))
+    swept = rows.repartition("part").sortWithinPartitions("part", "key", "kind").mapInPandas(sweep, "id string, host string, path string, rule string, verdict string")
+    return swept.select(F.col("id").cast(kind).alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
