@@ -184,14 +184,17 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return index.mapInPandas(read, "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
-def plan_records(pages: DataFrame, least: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def plan_records(pages: DataFrame, least: int, id_col: str, url_col: str, html_col: str, few: int = 100_000) -> DataFrame:
     """The rows that write_monolithic takes: of equal payloads of at least `least` bytes the smallest id responds.
 
     Payload digests are counted with map-side sums; only digests that occur twice go into the join, so a hot payload
-    is one row there, and its many pages a side that Spark can split."""
+    is one row there. Up to `few` of these, of some 100 bytes each, are broadcast and payloads stay where they are;
+    more are joined by digest, where the many pages of a hot payload are a side that Spark can split."""
     pages = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     first = pages.where(F.col("size") >= least).groupBy("digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    first = kept(first)
+    first = F.broadcast(first) if first.count() <= few else first
     later = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     text = lambda c: F.col(c).cast("string")
     rows = pages.join(first, "digest", "left")
