@@ -38,9 +38,11 @@ def broadcast(df: DataFrame, root: int, shards: int) -> DataFrame:
     return _checked(df).where(F.col("shard") == root).select(_on_all(shards).alias("shard"), "pos", "x")
 
 
-def all_gather(df: DataFrame, n: int, shards: int) -> DataFrame:
-    """Every shard gets all parts of n places in order of the shards."""
-    return _checked(df).select((F.col("shard") * F.lit(n).cast("long") + F.col("pos")).alias("pos"), "x", _on_all(shards).alias("shard")).select("shard", "pos", "x")
+def all_gather(df: DataFrame, n: int | list[int], shards: int) -> DataFrame:
+    """Every shard gets all parts in order of the shards, of n places each or of as many as n has for each."""
+    places = [n] * shards if isinstance(n, int) else n
+    before = F.array(*(F.lit(sum(places[:k])).cast("long") for k in range(shards)))
+    return _checked(df).select((F.get(before, F.col("shard")) + F.col("pos")).alias("pos"), "x", _on_all(shards).alias("shard")).select("shard", "pos", "x")
 
 
 def reduce_scatter(df: DataFrame, op: str, n: int, shards: int) -> DataFrame:

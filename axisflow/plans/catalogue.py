@@ -28,6 +28,13 @@ def _vectors(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))
 
 
+def _numbered(spark, sf_dir):
+    """i, v with i numbered from 0 in order of the ids; the number of rows; the width of the longest."""
+    v = sorting.with_positions(_vectors(spark, sf_dir), "i").select(F.col("pos").alias("i"), "v")
+    n, width = v.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    return v, n, width
+
+
 def _long(df: DataFrame, decimals: int | None = None) -> DataFrame:
     """i, pos, x of (i, v)."""
     flat = df.select("i", F.posexplode("v").alias("pos", "x"))
@@ -185,25 +192,29 @@ def sort_indices_valid(spark, sf_dir):
 
 
 def _shards(spark, sf_dir):
-    """shard, pos, x: every fourth row of the first 64 rows' entries on a shard, 16 rows a shard one after another."""
-    v = _vectors(spark, sf_dir).where("i < 64").select((F.col("i") % SHARDS).cast("int").alias("shard"), F.floor(F.col("i") / SHARDS).cast("long").alias("r"), F.posexplode("v").alias("p", "x"))
-    return v.select("shard", (F.col("r") * 64 + F.col("p")).alias("pos"), "x").where("p < 64")
+    """shard, pos, x, and the places of each shard: every fourth row's entries on a shard, its rows one after another.
+
+    Shards have unequal parts where the rows can't be dealt out evenly; places a shard doesn't have take no part."""
+    v, rows, width = _numbered(spark, sf_dir)
+    v = v.select((F.col("i") % SHARDS).cast("int").alias("shard"), F.floor(F.col("i") / SHARDS).cast("long").alias("r"), F.posexplode("v").alias("p", "x"))
+    return v.select("shard", (F.col("r") * width + F.col("p")).alias("pos"), "x"), [(rows - k + SHARDS - 1) // SHARDS * width for k in range(SHARDS)]
 
 
 def _all_reduce(spark, sf_dir, op):
-    return collectives.all_reduce(_shards(spark, sf_dir), op, SHARDS).withColumn("x", F.round("x", 6))
+    return collectives.all_reduce(_shards(spark, sf_dir)[0], op, SHARDS).withColumn("x", F.round("x", 6))
 
 
 def coll_reduce_scatter(spark, sf_dir):
-    return collectives.reduce_scatter(_shards(spark, sf_dir), "sum", 1024, SHARDS).withColumn("x", F.round("x", 6))
+    parts, places = _shards(spark, sf_dir)
+    return collectives.reduce_scatter(parts, "sum", -(-places[0] // SHARDS) * SHARDS, SHARDS).withColumn("x", F.round("x", 6))
 
 
 def coll_all_gather(spark, sf_dir):
-    return collectives.all_gather(_shards(spark, sf_dir), 1024, SHARDS)
+    return collectives.all_gather(*_shards(spark, sf_dir), SHARDS)
 
 
 def coll_broadcast(spark, sf_dir):
-    return collectives.broadcast(_shards(spark, sf_dir), 2, SHARDS)
+    return collectives.broadcast(_shards(spark, sf_dir)[0], 2, SHARDS)
 
 
 def _labelled(spark, sf_dir):
