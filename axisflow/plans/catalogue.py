@@ -110,9 +110,10 @@ def ew_pad_pow2(spark, sf_dir):
 
 
 def ew_reshape(spark, sf_dir):
-    v = _vectors(spark, sf_dir).where("i < 100")
-    width = 64
-    return _long(elementwise.reshape(v.withColumn("v", F.slice("v", 1, width)), (100, width), (200, width // 2)))
+    """Rows in halves; rows of an odd width in single entries."""
+    v, n, width = _numbered(spark, sf_dir)
+    parts = width if width % 2 else 2
+    return _long(elementwise.reshape(v, (n, width), (n * parts, width // parts)))
 
 
 def _reduced(spark, sf_dir, op, axis):

@@ -57,3 +57,12 @@ def test_gather_broadcast_and_scatter_take_every_row(spark, uneven, which):
     want = sum(np.pad(p, (0, n - len(p))) for p in parts)[: max(map(len, parts))]
     got = catalogue.coll_reduce_scatter(spark, sf).withColumn("at", F.col("shard") * (n // 4) + F.col("pos")).orderBy("at").toPandas()
     assert got["at"].tolist() == list(range(len(want))) and np.allclose(got.x, want, atol=1e-5)
+
+
+@pytest.mark.parametrize("which", ["given", "uneven"])
+def test_reshape_takes_every_row(spark, uneven, which):
+    v = vectors(SF if which == "given" else uneven)
+    got = catalogue.ew_reshape(spark, SF if which == "given" else uneven).orderBy("i", "pos").toPandas()
+    half = v.shape[1] // 2
+    assert got.i.tolist() == [k // half for k in range(v.size)] and got.pos.tolist() == [k % half for k in range(v.size)]
+    assert np.array_equal(got.x, v.reshape(-1))
