@@ -219,7 +219,7 @@ def coll_broadcast(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("v"), (F.col("label") >= 5).cast("double").alias("y"))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") >= 5).cast("double").alias("y"))
     g, h = gbdt.gradients(F.col("y"), F.lit(0.0))
     return e.withColumns({"g": g, "h": h, "node": F.lit(0)})
 
@@ -236,7 +236,8 @@ def gbdt_best_split(spark, sf_dir):
 
 def _stump(spark, sf_dir):
     rows = _labelled(spark, sf_dir).select("v", "g", "h")
-    return gbdt.trees_table(spark, [gbdt.grow(rows, 8, TREE, 0)])
+    width = rows.select(F.max(F.size("v"))).first()[0] or 0
+    return gbdt.trees_table(spark, [gbdt.grow(rows, width, TREE, 0)])
 
 
 def gbdt_leaf_weights(spark, sf_dir):
@@ -248,7 +249,7 @@ def gbdt_importance(spark, sf_dir):
 
 
 def gbdt_train_predict(spark, sf_dir):
-    c = gbdt.GbdtConfig(max_depth=3, n_trees=3)
+    c = gbdt.GbdtConfig()
     rows = _labelled(spark, sf_dir).select("vec_id", "v", "y")
     return gbdt.predict(rows, gbdt.train(rows, c, "y"), c).select("vec_id", "y", "margin", "probability")
 

@@ -66,3 +66,29 @@ def test_reshape_takes_every_row(spark, uneven, which):
     half = v.shape[1] // 2
     assert got.i.tolist() == [k // half for k in range(v.size)] and got.pos.tolist() == [k % half for k in range(v.size)]
     assert np.array_equal(got.x, v.reshape(-1))
+
+
+@pytest.fixture(scope="module")
+def last(tmp_path_factory):
+    """The last of 20 features is the label's sign; others are noise."""
+    d = tmp_path_factory.mktemp("last")
+    rng = np.random.default_rng(2)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?)", [(i, [*rng.normal(size=19).tolist(), 1.0 if i % 10 >= 5 else -1.0], i % 10) for i in range(200)])
+    con.execute(f"COPY e TO '{d}/embeddings.parquet' (FORMAT parquet)")
+    return str(d)
+
+
+def test_splits_see_every_feature(spark, last):
+    assert [(r["feature"], r["x"]) for r in catalogue.gbdt_best_split(spark, last).collect()] == [(19, -1.0)]
+    assert [r["feature"] for r in catalogue.gbdt_importance(spark, last).collect()] == [19]
+    # 100 rows on each side, gradients of 0.5, hessians of 0.25, lambda 1
+    assert [(r["node"], r["weight"]) for r in catalogue.gbdt_leaf_weights(spark, last).orderBy("node").collect()] == [(1, round(-50 / 26, 6)), (2, round(50 / 26, 6))]
+
+
+def test_training_uses_the_operators_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalogue.gbdt, "train", lambda rows, c, label: seen.append((c, len(rows.first()["v"]))) or [catalogue.gbdt.Tree({0: catalogue.gbdt.Node()})])
+    assert catalogue.gbdt_train_predict(spark, SF).count() == 500
+    assert seen == [(catalogue.gbdt.GbdtConfig(), 64)]
