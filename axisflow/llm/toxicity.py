@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisflow.llm.common import crc_mod, some_at_a_time, text_or_empty
@@ -154,7 +154,10 @@ def ends_of(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: np.ndarray, most: int = 50_000, rounds: int = 80, rate: float = 0.1, batch: int = 500) -> Field:
-    """The field for labelled texts. One class alone gives a field whose score is that class for every text."""
+    """The field for labelled texts. One class alone gives a field whose score is that class for every text.
+
+    Chain weights are fitted on all chains that hold a word with odds and, of the others, on every k-th: about as many,
+    and `batch` more. Odds and the score's weights come from all texts."""
     f = Field()
     if not len(texts) or toxic.min() == toxic.max():
         f.logistic = np.array([8.0 if len(texts) and toxic.min() else -8.0, 0, 0, 0])
@@ -247,15 +250,18 @@ def _tokens_in(text: str, tokens: list[str]) -> Iterator[re.Match]:
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int, chars: int, folds: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
     """Texts and labels of the `most` labelled training rows with the least hashes of their ids, ties and null texts
-    included as empty; of each text the first `chars` characters. Only this sample reaches the driver."""
+    included as empty. Texts are whole; in the order of the hashes, none is taken once `chars` characters are reached.
+    Only this sample reaches the driver."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).alias("_y"))
     chosen = known.where(crc_mod("_l", folds) != 0).orderBy(F.xxhash64("_l"), "_l").limit(most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.substring(text_or_empty(text_col), 1, chars).alias("_t")).join(F.broadcast(chosen), F.col("_id") == F.col("_l"))
-    got = sorted(rows.select("_id", "_t", "_y").limit(2 * most).collect(), key=lambda r: (r["_id"], r["_t"]))
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), F.col("_id") == F.col("_l"))
+    upto = Window.orderBy(F.xxhash64("_l"), "_l", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    taken = rows.limit(2 * most).withColumn("_n", F.coalesce(F.sum(F.length("_t")).over(upto), F.lit(0))).where(F.col("_n") < chars)
+    got = sorted(taken.select("_id", "_t", "_y").collect(), key=lambda r: (r["_id"], r["_t"]))
     return [r["_t"] for r in got], np.asarray([int(r["_y"] > 0) for r in got], dtype=np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000, chars: int = 20_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, chars: int = 60_000_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """A field fitted on a bounded sample of the labelled rows outside fold 0."""
     return fit(*training_sample(docs, labels, most, chars, folds, id_col, text_col, label_col))
 
@@ -266,7 +272,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 3000, folds:
     Labels of held-out rows are never read for learning, and nothing but the text is an input of a score. Null and
     empty texts get the score of a text without tokens. Repeated rows and null ids keep their rows; other columns
     aren't read; an empty table gives no rows; without labels, or with one class only, every text gets the same score.
-    Fitting takes at most `most` labelled rows of 20,000 characters each; every text is scored whole, in a narrow map.
+    Fitting takes at most `most` labelled rows, whole, and no more of them after 60,000,000 characters; every text is scored whole, in a narrow map.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, folds=folds, id_col=id_col, text_col=text_col, label_col=label_col))
     out = docs.select(F.col(id_col), *keep, (crc_mod(id_col, folds) == 0).alias("held_out"), scored(text_or_empty(text_col), model).alias("_s"))
