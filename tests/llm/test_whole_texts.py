@@ -15,3 +15,15 @@ def test_training_texts_are_whole(spark, docs_of):
     assert len(texts) > 20 and all("end" in t for t in texts)
     few, _ = toxicity.training_sample(docs, labels, 3000, 100_000, 5, "doc_id", "text", "toxic")
     assert len(few) == 4 and all("end" in t for t in few)
+
+
+def test_rows_are_told_apart_by_their_texts(spark, docs_of):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(100))
+    one, two, three = text(), text(), text()
+    docs = docs_of((1, one), (1, two), (1, two), (2, one), (3, three), (3, three + " tail"), (0, two))
+    assert sorted((r["doc_id"], r["text"]) for r in cp.drop_near_copies(spark, docs, SF).collect() if r["doc_id"] != 3) == [(0, two), (1, one)]
+    assert sum(r["doc_id"] == 3 for r in cp.drop_near_copies(spark, docs, SF).collect()) == 1
+    leak = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) > 20)
+    docs = docs_of((1, one), (1, leak), (None, leak), (None, two))
+    assert sorted((r["text"] for r in cp.drop_benchmark_leaks(spark, docs, SF).collect())) == sorted([one, two])
