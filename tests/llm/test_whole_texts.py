@@ -27,3 +27,12 @@ def test_rows_are_told_apart_by_their_texts(spark, docs_of):
     leak = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) > 20)
     docs = docs_of((1, one), (1, leak), (None, leak), (None, two))
     assert sorted((r["text"] for r in cp.drop_benchmark_leaks(spark, docs, SF).collect())) == sorted([one, two])
+
+
+def test_long_secrets_and_accounts_of_every_country_are_found():
+    for n in (20, 200, 201, 5000):
+        key = ("aB3" * n)[:n]
+        assert [(x["kind"], x["end"] - x["start"]) for x in pii.spans_in(f"token {key} end", 0.5, 40)] == [("secret", n)]
+    for account in ("GE29 NB00 0000 0101 9049 17", "BG80 BNBG 9661 1020 3456 78", "GR16 0110 1250 0000 0001 2300 695", "SA03 8000 0000 6080 1016 7519"):
+        assert [x["kind"] for x in pii.spans_in(f"iban {account}.", 0.5, 40)] == ["iban"]
+    assert pii.spans_in("iban BG81 BNBG 9661 1020 3456 78.", 0.5, 40) == []
