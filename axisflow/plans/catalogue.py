@@ -304,14 +304,17 @@ def queries() -> dict:
 _LONG = "(SELECT vec_id AS i, CAST(unnest(range(len(embedding))) AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 _IDS = "(SELECT event_type, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INT) AS id FROM events GROUP BY event_type)"
 _NUMBER = r"'^[+-]?(inf|infinity|nan|([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?)$'"
-_SHARD = f"(SELECT CAST(i % 4 AS INT) AS shard, CAST(i // 4 * 64 + pos AS BIGINT) AS pos, x FROM {_LONG} WHERE i < 64 AND pos < 64)"
+#: i from 0 in order of the ids, the number of rows n, the width w of the longest.
+_NUMBERED = """(SELECT i, n, w, CAST(unnest(range(len(e))) AS INT) AS pos, CAST(unnest(e) AS DOUBLE) AS x FROM (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n, max(len(embedding)) OVER () AS w, embedding AS e FROM embeddings))"""
+_SHARD = f"(SELECT CAST(i % 4 AS INT) AS shard, CAST(i // 4 * w + pos AS BIGINT) AS pos, x, n, w FROM {_NUMBERED})"
 _EACH = "(SELECT CAST(unnest(range(4)) AS INT) AS shard)"
 _RADIX = "(SELECT event_id // 256 AS block, CAST((user_id >> 4) & 15 AS INT) AS digit, event_id AS pos, user_id AS key FROM events)"
-_ROWS8 = "(SELECT vec_id, CAST(label >= 5 AS INT) AS y, CAST(unnest(range(8)) AS INT) AS feature, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings)"
+_ROWS = "(SELECT vec_id, CAST(label >= 5 AS INT) AS y, CAST(unnest(range(len(embedding))) AS INT) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 _SPLITS = f"""(
   SELECT feature, x, max(gl) AS gl, max(hl) AS hl, max(g) AS g, max(h) AS h FROM (
     SELECT feature, x, sum(0.5 - y) OVER w AS gl, sum(0.25) OVER w AS hl, sum(0.5 - y) OVER (PARTITION BY feature) AS g, sum(0.25) OVER (PARTITION BY feature) AS h
-    FROM {_ROWS8} WINDOW w AS (PARTITION BY feature ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    FROM {_ROWS} WINDOW w AS (PARTITION BY feature ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   GROUP BY feature, x)"""
 _BEST = f"""(
   SELECT feature, x, 0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) AS gain
@@ -332,7 +335,7 @@ def oracle_sql() -> dict:
         "ew_fill": "SELECT o_orderkey AS i, CAST(unnest(range(3)) AS INT) AS pos, o_totalprice AS x FROM orders",
         "ew_pad_pow2": f"""SELECT i, p AS pos, CASE WHEN p <= i % 60 THEN x ELSE 3.4028234663852886e38 END AS x
             FROM (SELECT vec_id AS i, CAST(unnest(range(CAST(pow(2, ceil(log2(vec_id % 60 + 1))) AS BIGINT))) AS INT) AS p FROM embeddings) LEFT JOIN {_LONG} l USING (i) WHERE l.pos = p""",
-        "ew_reshape": f"SELECT i * 2 + pos // 32 AS i, CAST(pos % 32 AS INT) AS pos, x FROM {_LONG} WHERE i < 100 AND pos < 64",
+        "ew_reshape": f"SELECT (i * w + pos) // k AS i, CAST((i * w + pos) % k AS INT) AS pos, x FROM (SELECT *, CASE WHEN w % 2 = 0 THEN w // 2 ELSE 1 END AS k FROM {_NUMBERED})",
         "red_columns": "SELECT 'argmin' AS what, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS o_orderkey FROM orders UNION ALL SELECT 'argmax', arg_max(o_orderkey, (o_totalprice, -o_orderkey)) FROM orders",
         "radix_histogram": f"SELECT block, digit, count(*) AS n FROM {_RADIX} GROUP BY block, digit",
         "radix_offsets": f"SELECT block, digit, n, CAST(coalesce(sum(n) OVER (ORDER BY digit, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT block, digit, count(*) AS n FROM {_RADIX} GROUP BY block, digit)",
@@ -346,12 +349,12 @@ def oracle_sql() -> dict:
         "sort_verify": "SELECT 'given' AS what, min(p) AS first_descent FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, o_totalprice < lag(o_totalprice) OVER (ORDER BY o_orderkey) AS d FROM orders) WHERE d UNION ALL SELECT 'sorted', CAST(NULL AS BIGINT)",
         "sort_match_rate": "SELECT count(*) AS n, CAST(sum(m) AS BIGINT) AS matches, round(100 * avg(m), 6) AS percent FROM (SELECT CAST(abs(a.x - b.x) < 1e-6 AS INT) AS m FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS p, o_totalprice AS x FROM orders) a JOIN (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS p, o_totalprice AS x FROM orders) b USING (p))",
         "sort_indices_valid": "SELECT bool_and(abs(o.o_totalprice - s.value) < 1e-3) AS valid FROM (SELECT o_totalprice AS value, o_orderkey AS index FROM orders) s JOIN orders o ON o.o_orderkey = s.index",
-        "coll_reduce_scatter": f"SELECT CAST(pos // 256 AS INT) AS shard, pos % 256 AS pos, round(sum(x), 6) AS x FROM {_SHARD} GROUP BY pos",
-        "coll_all_gather": f"SELECT e.shard, s.shard * 1024 + pos AS pos, x FROM {_SHARD} s CROSS JOIN {_EACH} e",
+        "coll_reduce_scatter": f"SELECT CAST(pos // k AS INT) AS shard, pos % k AS pos, round(sum(x), 6) AS x FROM (SELECT *, ((n + 3) // 4 * w + 3) // 4 AS k FROM {_SHARD}) GROUP BY k, pos",
+        "coll_all_gather": f"SELECT e.shard, CAST(coalesce(list_sum(list_transform(range(s.shard), lambda j: (n - j + 3) // 4)), 0) * w AS BIGINT) + pos AS pos, x FROM {_SHARD} s CROSS JOIN {_EACH} e",
         "coll_broadcast": f"SELECT e.shard, pos, x FROM {_SHARD} s CROSS JOIN {_EACH} e WHERE s.shard = 2",
         "gbdt_gradients": "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))) - CAST(label >= 5 AS INT), 9) AS g, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))) * (1 - 1 / (1 + exp(-CAST(embedding[1] AS DOUBLE)))), 9) AS h FROM embeddings",
         "gbdt_best_split": f"SELECT feature, round(x, 9) AS x, round(gain, 6) AS gain FROM {_BEST}",
-        "gbdt_leaf_weights": f"SELECT CAST(CASE WHEN r.x <= b.x THEN 1 ELSE 2 END AS INT) AS node, round(-sum(0.5 - y) / (sum(0.25) + 1), 6) AS weight FROM {_ROWS8} r JOIN {_BEST} b USING (feature) GROUP BY ALL",
+        "gbdt_leaf_weights": f"SELECT CAST(CASE WHEN r.x <= b.x THEN 1 ELSE 2 END AS INT) AS node, round(-sum(0.5 - y) / (sum(0.25) + 1), 6) AS weight FROM {_ROWS} r JOIN {_BEST} b USING (feature) GROUP BY ALL",
         "gbdt_importance": f"SELECT feature, round(gain, 6) AS importance FROM {_BEST}",
         "stats_throughput": "SELECT event_type, round(count(*) * 1048576 / 1073741824.0 / (sum(value) / 1000), 6) AS mean, round(max(1048576 / 1073741824.0 / (value / 1000)), 6) AS peak, round((max(value) - min(value)) / max(value) * 100, 6) AS improvement FROM events WHERE value > 0 GROUP BY event_type",
         "group_metrics": "SELECT event_type AS \"group\", CAST(user_id % 3 AS VARCHAR) AS strategy, count(*) AS runs, round(avg(CAST(event_id % 10 != 0 AS INT)), 6) AS success_rate, round(avg(value + 1), 6) AS mean_ms, round(min(value + 1), 6) AS min_ms, round(max(value + 1), 6) AS max_ms, round(arg_max(1048576 / ((value + 1) / 1000), event_id), 6) AS throughput FROM events GROUP BY ALL",
