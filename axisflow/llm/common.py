@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one on one
+    machine (local masters), and an error on a cluster, whose executors wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
             current = spark.sparkContext.getCheckpointDir()
         folder = current
@@ -59,12 +66,24 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again, and the path, for whoever removes it."""
     spark = df.sparkSession
     path = fresh_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def apart(c: str | Column) -> Column:
+    """A whole number by an expression, so that a join on it deals the rows out by itself: adaptive execution splits hot
+    keys of such a join, but not where an aggregation by the key has dealt them out."""
+    return F.bitwise_not(F.bitwise_not(F.col(c) if isinstance(c, str) else c))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_or_empty(text_col: str) -> Column:
@@ -76,7 +95,7 @@ def crc_mod(id_col: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m
 
 
-def some_at_a_time(texts: pd.Series, chars: int = 1_000_000) -> Iterator[slice]:
+def some_at_a_time(texts: pd.Series, chars: int = 500_000) -> Iterator[slice]:
     """Slices of about so many characters, or of one text, so that memory doesn't follow the batch."""
     at = total = 0
     for i, n in enumerate(texts.str.len()):
@@ -86,3 +105,41 @@ def some_at_a_time(texts: pd.Series, chars: int = 1_000_000) -> Iterator[slice]:
         total += int(n)
     if len(texts) > at:
         yield slice(at, len(texts))
+
+
+def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, a function of batches, that gives its memory back to the system when it ends. Python workers are used
+    again by later tasks, and what one has freed would else stay with it beside the memory of the next."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        _map_large_arrays()
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library
+        return None
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+@functools.cache
+def _map_large_arrays() -> None:
+    """Arrays of a megabyte and more get pages of their own, which go back when they are freed."""
+    if libc := _libc():
+        libc.mallopt(-3, 1 << 20)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import byte_letters, chunks_of, kept, some_at_a_time, text_or_empty
+from axisflow.llm.common import byte_letters, chunks_of, kept, some_at_a_time, text_or_empty, trimmed
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -90,7 +90,7 @@ class ChunkIds:
 
 @functools.cache
 def chunk_ids(path: str, memo: int) -> ChunkIds:
-    """One for each worker process."""
+    """One vocabulary for each worker process; what it remembers goes at the end of a task."""
     return ChunkIds(path, memo)
 
 
@@ -99,6 +99,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
     kind = docs.schema[id_col].dataType
     end = int(end_id).to_bytes(4, "little")
 
+    @trimmed
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = chunk_ids(path, memo)
         for batch in batches:
@@ -111,6 +112,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
                         own = data[4 * at : 4 * (at + capacity)]
                         row.append(i), piece.append(k), start.append(at), length.append(len(own) // 4), crc.append(zlib.crc32(own))
             yield pd.DataFrame({id_col: batch[id_col].iloc[row].to_numpy(), "piece": np.asarray(piece, "int32"), "start": np.asarray(start, "int64"), "length": np.asarray(length, "int64"), "ids_crc32": np.asarray(crc, "int64")})
+        ids.known.clear(), ids.pieces.clear()
 
     # ids travel as text: pandas would make floats of whole numbers beside a null
     source = docs.select(F.col(id_col).cast("string").alias(id_col), text_or_empty(text_col).alias("text"))
@@ -237,7 +239,7 @@ def placed(key: Column, slots) -> Column:
     return place(key)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", memo: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", memo: int = 250_000) -> DataFrame:
     """One row per piece: the id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty and gives one piece, the end id alone. Only texts longer than `capacity` ids are cut.

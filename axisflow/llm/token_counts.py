@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import byte_letters, chunks_of, text_or_empty
+from axisflow.llm.common import byte_letters, chunks_of, text_or_empty, trimmed
 
 
 def merged_length(symbols: list[int], pairs: dict[int, int]) -> int:
@@ -127,18 +127,20 @@ class TokenCounter(dict):
 
 @functools.cache
 def counter(path: str, memo: int) -> TokenCounter:
-    """One for each worker process, so that later tasks find the chunks of earlier ones."""
+    """One vocabulary for each worker process; what it remembers goes at the end of a task."""
     return TokenCounter(path, memo)
 
 
-def token_count(text: Column, path: str, memo: int = 500_000) -> Column:
-    """The number of tokens of a text column; memo bounds the chunks and the pieces that a worker remembers."""
+def token_count(text: Column, path: str, memo: int = 250_000) -> Column:
+    """The number of tokens of a text column; memo bounds the chunks and the pieces that a task remembers, at some 100 bytes each."""
 
     @F.pandas_udf("long")
+    @trimmed
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = counter(path, memo).count
+        own = counter(path, memo)
         for texts in batches:
-            yield texts.map(one).astype("int64")
+            yield texts.map(own.count).astype("int64")
+        own.clear(), own.pieces.clear()
 
     return count(text)
 
