@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import kept, some_at_a_time, text_or_empty
+from axisflow.llm.common import apart, kept, some_at_a_time, text_or_empty, trimmed
 from axisflow.llm.graph import components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -83,6 +83,7 @@ def fingerprints(text: Column, words: int = 4, seed: int = 42, check: Check | No
     names = ["fp", *(f"l{i}" for i in range(4 if check else 0))]
 
     @F.pandas_udf(", ".join(f"{c} long" for c in names))
+    @trimmed
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = [[np.zeros(0, np.uint64)] for _ in names]
@@ -113,18 +114,30 @@ def block_masks(blocks: int, bits: int) -> list[int]:
     `bits` bits differ in at most `bits` blocks, so they agree under one of these masks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     block = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    masks = [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [signed(sum(block[i] for i in chosen)) for chosen in combinations(range(blocks), blocks - bits)]
 
 
-def spanning(fp: np.ndarray, longs: np.ndarray, bits: int, check: Check | None) -> list[tuple[np.ndarray, np.ndarray]]:
+def masks_within(bits: list[int], blocks: int, agreeing: int) -> list[int]:
+    """Masks of every choice of `agreeing` of the blocks that the given bits are split into."""
+    edges = [len(bits) * i // blocks for i in range(blocks + 1)]
+    block = [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:])]
+    return [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), agreeing)]
+
+
+def spanning(fp: np.ndarray, longs: np.ndarray, bits: int, check: Check | None, patience: int | None = 64) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links, as places, that join whatever is linked within a group: a breadth-first forest, so fewer links than
-    members however many pairs are close. A member is compared only with those not yet reached."""
-    links, rest = [], np.arange(len(fp))
+    members however many pairs are close. A member is compared only with those not yet reached. Where that takes more
+    than `patience` comparisons a member, as in a large group that shares its key by chance, what is open is split by
+    further bits instead."""
+    links, rest, work = [], np.arange(len(fp)), 0
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
+            if patience and work > patience * max(len(fp), 4096):
+                open_ = np.concatenate([queue, rest])
+                return links + [(open_[a], open_[b]) for a, b in finer(fp[open_], longs[open_], bits, check)]
             x = queue.pop()
+            work += len(rest)
             near = np.bitwise_count(fp[rest] ^ fp[x]) <= bits
             if check and near.any():
                 near[near] = np.bitwise_count(longs[rest[near]] ^ longs[x]).sum(axis=1) <= check.bits
@@ -136,17 +149,66 @@ def spanning(fp: np.ndarray, longs: np.ndarray, bits: int, check: Check | None)
     return links
 
 
-def links_of(nodes: DataFrame, bits: int, n: int, bucket: int, check: Check | None) -> DataFrame:
-    """a, b: links between nodes that connect what is connected. nodes: node, fp (and l0 to l3), n distinct rows."""
+def finer(fp: np.ndarray, longs: np.ndarray, bits: int, check: Check | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links as of spanning, by blocks of the bits in which the group differs."""
+    varying = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    own = [b for b in range(64) if varying >> b & 1]
+    if len(own) < 2 * bits:
+        return spanning(fp, longs, bits, check, None)
+    links = []
+    for mask in masks_within(own, 2 * bits, bits):
+        order = np.argsort(fp & np.uint64(mask), kind="stable")
+        key = (fp & np.uint64(mask))[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            here = order[at : at + size]
+            links += [(here[a], here[b]) for a, b in spanning(fp[here], longs[here], bits, check, None)]
+    return links
+
+
+def signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def crowded_keys(keyed: DataFrame, keys: list[str], crowd: int) -> DataFrame | None:
+    """Keys that, by every 64th node, are shared by about `crowd` rows or more, with `size`, that number; None if there are none.
+    There are fewer of them than rows by a factor of `crowd`."""
+    seen = keyed.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy(*keys).agg((64 * F.count(F.lit(1))).alias("size"))
+    found = kept(seen.where(F.col("size") >= crowd))
+    return None if found.isEmpty() else found
+
+
+def split_further(keyed: DataFrame, crowded: DataFrame, masks: list[int], bits: int, few: int) -> DataFrame:
+    """keyed with the rows of crowded keys under longer keys: every choice of half the blocks of the bits that their key
+    leaves out, so that close fingerprints still share one. As exact as before, and a hot key is many."""
+    small = crowded.select("table", "key")
+    small = F.broadcast(small) if small.count() <= few else small
+    longer = [[signed(m % (1 << 64) | x) for x in masks_within([b for b in range(64) if not m >> b & 1], 2 * bits, bits)] for m in masks]
+    own = F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in longer)), F.col("table") + 1)
+    inside = keyed.join(small, ["table", "key"], "left_semi").select("*", F.posexplode(own).alias("_i", "_m"))
+    inside = inside.withColumns({"key": F.col("fp").bitwiseAND(F.col("_m")), "table": (F.col("table") + 1) * 1_000_000 + F.col("_i")}).select(keyed.columns)
+    return keyed.join(small, ["table", "key"], "left_anti").select(keyed.columns).unionAll(inside)
+
+
+def links_of(nodes: DataFrame, bits: int, n: int, bucket: int, check: Check | None, crowd: int = 200_000, few: int = 100_000) -> DataFrame:
+    """a, b: links between nodes that connect what is connected. nodes: node, fp (and l0 to l3), n distinct rows.
+
+    Fingerprints that share a key meet in one task, at 16 bytes each (48 with `check`); keys that about `crowd` or more
+    share are split further first."""
     own = ["node", "fp", *(f"l{i}" for i in range(4 if check else 0))]
     masks = block_masks(blocks_for(n, bits, bucket), bits)
     keyed = nodes.select(*own, F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("table", "key"))
+    if n >= crowd and (crowded := crowded_keys(keyed, ["table", "key"], crowd)) is not None:
+        keyed = split_further(keyed, crowded, masks, bits, few)
 
+    @trimmed
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["table", "key", *own]
-        held = np.zeros((len(names), 0), dtype=np.int64)
+        held: list[np.ndarray] = []  # rows of the last group, which may go on
 
-        def pairs(rows: np.ndarray) -> pd.DataFrame:
+        def pairs() -> pd.DataFrame:
+            rows = np.ascontiguousarray(np.concatenate(held, axis=1))
             cuts = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
             starts, node, fp = np.concatenate([[0], cuts]), rows[2], rows[3].view(np.uint64)
             longs = rows[4:].view(np.uint64).T
@@ -163,15 +225,17 @@ def links_of(nodes: DataFrame, bits: int, n: int, bucket: int, check: Check | No
             return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch[c].to_numpy(np.int64) for c in names])], axis=1)
+            rows = np.stack([batch[c].to_numpy(np.int64) for c in names])
             if not rows.shape[1]:
                 continue
-            last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])  # its group may go on
-            held = np.ascontiguousarray(rows[:, last])
-            if not last.all():
-                yield pairs(np.ascontiguousarray(rows[:, ~last]))
-        if held.shape[1]:
-            yield pairs(held)
+            last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+            if not last.all() or held and (held[-1][:2, -1] != rows[:2, -1]).any():
+                held.append(rows[:, ~last])
+                yield pairs()
+                held.clear()
+            held.append(rows[:, last])
+        if held:
+            yield pairs()
 
     return keyed.repartition("table", "key").sortWithinPartitions("table", "key").mapInPandas(link, "a long, b long").distinct()
 
@@ -192,6 +256,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int =
     nodes = kept(prints.groupBy("node").agg(F.min("_id").alias("least"), *(F.first(c).alias(c) for c in names)))
     roots = components(links_of(nodes, bits, nodes.count(), bucket, check), "a", "b")
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("node", "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(apart("root").alias("_r"), "component_id")
+    named = rooted.join(ids, rooted["root"] == ids["_r"]).select("node", "component_id")
     return prints.join(named, "node").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
