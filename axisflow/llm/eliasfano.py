@@ -1,10 +1,12 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, on memory-mapped arrays, with vectorised queries."""
+"""Elias-Fano sequences and a trigram trie over them, on memory-mapped arrays, with vectorised queries."""
 
 from __future__ import annotations
 
+import io
 import tempfile
 
 import numpy as np
+from pyarrow import fs as pafs
 
 _BYTE = np.array([[*[i for i in range(8) if b >> i & 1], *[8] * 8][:8] for b in range(256)], dtype=np.int64)
 
@@ -98,29 +100,78 @@ class _Flipped:
         return ~self.words[at]
 
 
-class BigramTrie:
-    """Contexts (level 1) with monotone pointers into their successors (level 2), which carry quantised log10 values.
+class Children:
+    """Sorted numbers below each of so many parents: monotone pointers to a parent's first child, and the children as one
+    monotone sequence, each as its number plus the last value of the parent before."""
 
-    A successor is stored as its number plus the last value of the context before, so the whole level is monotone and
-    a query searches for the successor of its number relative to its context.
+    def __init__(self, pointers: EliasFano, values: EliasFano):
+        self.pointers, self.values = pointers, values
+
+    @staticmethod
+    def build(parent: np.ndarray, number: np.ndarray, parents: int) -> Children:
+        """parent, number: of every child, sorted by both."""
+        start = np.searchsorted(parent, np.arange(parents + 1))
+        full = start[1:] > start[:-1]
+        steps = np.zeros(parents, dtype=np.int64)
+        steps[full] = number[start[1:][full] - 1] + 1
+        return Children(EliasFano.build(start), EliasFano.build((np.cumsum(steps) - steps)[parent] + number))
+
+    def first(self, parent: np.ndarray) -> np.ndarray:
+        return self.pointers.get(parent).astype(np.int64)
+
+    def find(self, parent: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The place of each number below its parent, or -1."""
+        if not len(parent) or not self.values.n:
+            return np.full(len(parent), -1, dtype=np.int64)
+        own, place = np.unique(parent, return_inverse=True)
+        start, end = self.first(own), self.first(own + 1)
+        base = np.zeros(len(own), dtype=np.int64)
+        base[start > 0] = self.values.get(start[start > 0] - 1).astype(np.int64) + 1
+        found = self.values.find(base[place] + number)
+        return np.where((found >= start[place]) & (found < end[place]), found, -1)
+
+
+class Levels:
+    """Logarithms in 2**bits levels between the least and the greatest."""
+
+    def __init__(self, floor: float, step: float, codes: np.ndarray):
+        self.floor, self.step, self.codes = floor, step, codes
+
+    @staticmethod
+    def of(x: np.ndarray, bits: int) -> Levels:
+        floor = float(x.min()) if len(x) else 0.0
+        step = (float(x.max()) - floor) / ((1 << bits) - 1) if len(x) else 0.0
+        return Levels(floor, step, np.rint((x - floor) / (step or 1.0)).astype(np.uint8 if bits <= 8 else np.uint16))
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return self.floor + self.step * self.codes[at]
+
+
+class Trie:
+    """A trigram trie rooted at the middle word v.
+
+    Level 1: the words v, with the weight of a context. Level 2: v's successors w, with log10 P(w | v), and the words u
+    before v, with the weight of the context (u, v). Level 3: below each (u, v) its successors, as their ranks among
+    v's, with log10 P(w | u v), so that a search is for the successor of a rank in its context. All of it lies in one
+    file that has no name and goes with the process (in TMPDIR, about 4 bytes an n-gram of the shard), mapped from there.
     """
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, log_value: np.ndarray, bits: int = 8):
-        """context, word: distinct pairs sorted by context, then word; log_value: what each pair's code stands for."""
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(context)) - 1
-        base = np.concatenate([[0], np.cumsum(word[last].astype(np.int64) + 1)[:-1]]) if len(first) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(context)))
-        self.floor = float(log_value.min()) if len(log_value) else 0.0
-        self.step = (float(log_value.max()) - self.floor) / ((1 << bits) - 1) if len(log_value) else 0.0
-        codes = np.rint((log_value - self.floor) / (self.step or 1.0)).astype(np.uint8 if bits <= 8 else np.uint16)
-        self.contexts, self.pointers, self.successors = EliasFano.build(context[first]), EliasFano.build(first), EliasFano.build(np.repeat(base, size) + word)
-        self.codes = self._mapped(codes)
-
-    def _mapped(self, codes: np.ndarray) -> np.ndarray:
-        """Puts all levels in one file, which has no name and goes with the process, and maps them from there."""
+    def __init__(self, v, v_weight, parent, w, p2, u_parent, u, u_weight, node, rank, p3, bits: int = 8):
+        """v: sorted; parent, w: pairs as places of v and words, sorted; u_parent, u: contexts likewise; node, rank:
+        trigrams as places of contexts and ranks, sorted; the others: log10 weights and probabilities of these."""
+        self.words = EliasFano.build(v)
+        self.successors, self.contexts = Children.build(parent, w, len(v)), Children.build(u_parent, u, len(v))
+        self.triples = Children.build(node, rank, len(u))
+        self.levels = [Levels.of(x, bits) for x in (v_weight, p2, u_weight, p3)]
+        self._map()
+
+    def _sequences(self) -> list[EliasFano]:
+        return [self.words, *(x for c in (self.successors, self.contexts, self.triples) for x in (c.pointers, c.values))]
+
+    def _map(self) -> None:
+        sequences = self._sequences()
         with tempfile.TemporaryFile() as f:
-            arrays = [codes, *(a for ef in (self.contexts, self.pointers, self.successors) for a in ef.parts.values())]
+            arrays = [*(x.codes for x in self.levels), *(a for s in sequences for a in s.parts.values())]
             at = []
             for a in arrays:
                 f.write(b"\0" * (-f.tell() % 8))
@@ -128,27 +179,57 @@ class BigramTrie:
                 f.write(a.tobytes())
             f.write(b"\0" * 8)
             f.flush()
-            mapped = [np.memmap(f, dtype=a.dtype, mode="r", offset=o, shape=a.shape) if len(a) else a for a, o in zip(arrays, at)]
-        rest = iter(mapped[1:])
-        for ef in (self.contexts, self.pointers, self.successors):
-            ef.parts = {k: next(rest) for k in ef.parts}
-        return mapped[0]
-
-    def values(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The pairs' values, -inf for pairs that aren't there."""
-        out = np.full(len(context), -np.inf)
-        level = self.contexts.find(context)
-        known = np.flatnonzero(level >= 0)
-        if not len(known):
-            return out
-        c, place = np.unique(level[known], return_inverse=True)
-        start = self.pointers.get(c).astype(np.int64)
-        end = np.full(len(c), self.successors.n)
-        more = c + 1 < self.contexts.n
-        end[more] = self.pointers.get(c[more] + 1).astype(np.int64)
-        base = np.zeros(len(c), dtype=np.int64)
-        base[start > 0] = self.successors.get(start[start > 0] - 1).astype(np.int64) + 1
-        found = self.successors.find(base[place] + word[known].astype(np.int64))
-        ok = (found >= start[place]) & (found < end[place])
-        out[known[ok]] = self.floor + self.step * self.codes[found[ok]]
+            rest = iter([np.memmap(f, dtype=a.dtype, mode="r", offset=o, shape=a.shape) if len(a) else a for a, o in zip(arrays, at)])
+        for x in self.levels:
+            x.codes = next(rest)
+        for s in sequences:
+            s.parts = {k: next(rest) for k in s.parts}
+
+    def values(self, context: np.ndarray, v_of: np.ndarray, word: np.ndarray, alone: np.ndarray, pair_of: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 P of trigrams. context: words v; v_of, word, alone: pairs as places of contexts, words and their own
+        log10 P; pair_of, before: trigrams as places of pairs and the words u."""
+        v_weight, p2, u_weight, p3 = self.levels
+        level = self.words.find(context)
+        parent = level[v_of]
+        known = np.flatnonzero(parent >= 0)
+        found = np.full(len(word), -1, dtype=np.int64)
+        found[known] = self.successors.find(parent[known], word[known])
+        log = alone.copy()
+        log[known] += v_weight.get(parent[known])
+        hit = found >= 0
+        log[hit] = p2.get(found[hit])
+        out = log[pair_of]
+        inside = np.flatnonzero(parent[pair_of] >= 0)
+        pair = pair_of[inside]
+        node = self.contexts.find(parent[pair], before[inside])
+        inside, pair, node = inside[node >= 0], pair[node >= 0], node[node >= 0]
+        out[inside] += u_weight.get(node)
+        seen = np.flatnonzero(found[pair] >= 0)
+        inside, pair, node = inside[seen], pair[seen], node[seen]
+        place = self.triples.find(node, found[pair] - self.successors.first(parent[pair]))
+        out[inside[place >= 0]] = p3.get(place[place >= 0])
         return out
+
+    def write(self, folder: str, name: str) -> None:
+        """All levels as one NumPy archive."""
+        system, path = pafs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        arrays = {f"level{i}": x.codes for i, x in enumerate(self.levels)} | {f"scale{i}": np.array([x.floor, x.step]) for i, x in enumerate(self.levels)}
+        for i, s in enumerate(self._sequences()):
+            arrays |= {f"{k}{i}": a for k, a in s.parts.items()} | {f"shape{i}": np.array([s.n, s.width])}
+        held = io.BytesIO()
+        np.savez(held, **arrays)
+        with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(held.getbuffer())
+
+    @staticmethod
+    def read(folder: str, name: str) -> Trie:
+        system, path = pafs.FileSystem.from_uri(folder)
+        with system.open_input_file(f"{path}/{name}") as data:
+            got = np.load(io.BytesIO(data.read()))
+        trie = Trie.__new__(Trie)
+        s = [EliasFano(*got[f"shape{i}"].tolist(), {k: got[f"{k}{i}"] for k in ("low", "high", "ones", "zeros")}) for i in range(7)]
+        trie.words, trie.successors, trie.contexts, trie.triples = s[0], Children(*s[1:3]), Children(*s[3:5]), Children(*s[5:7])
+        trie.levels = [Levels(*got[f"scale{i}"].tolist(), got[f"level{i}"]) for i in range(4)]
+        trie._map()
+        return trie

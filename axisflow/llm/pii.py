@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import text_or_empty
+from axisflow.llm.common import text_or_empty, trimmed
 
 #: Base kinds, then the kinds that the method adds; spans with one start are listed in this order.
 BASE = ("email", "ip", "card", "phone")
@@ -134,28 +135,49 @@ def score(text: str, kind: str, start: int, end: int, reach: int) -> float:
     return round(min(1.0, SCORES[kind] + 0.4 * any(w in near for w in CONTEXT[kind]) - 0.2 * any(w in near for w in AGAINST)), 3)
 
 
+def merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def spans_in(text: str, threshold: float, reach: int) -> list[dict]:
-    """All spans of a text. Base spans stay whatever their score; an added one needs the threshold and free room."""
+    """All spans of a text. Base spans stay whatever their score; an added one needs the threshold and free room, which
+    is looked up by bisection."""
     found, taken = [], []
     for kind in KINDS:
+        starts, ends = merged(taken) if kind in ADDED else ([], [])
         for start, end in PROPOSERS[kind](text):
             s = score(text, kind, start, end, reach)
-            if kind in BASE or s >= threshold and all(end <= a or b <= start for a, b in taken):
+            before = bisect_left(starts, end) - 1
+            if kind in BASE or s >= threshold and (before < 0 or ends[before] <= start):
                 found.append({"kind": kind, "start": start, "end": end, "score": s})
-                taken.append((start, end))
+        taken = [(x["start"], x["end"]) for x in found]
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda x: (x["start"], order[x["kind"]], x["end"]))
 
 
+def _worth_reading(text: Column) -> Column:
+    """The text, or null where it has neither an @ nor a digit, without which there is no span of any kind."""
+    return F.when(text.rlike("[@0-9]"), text)
+
+
 def spans(text: Column, threshold: float = 0.5, reach: int = 40) -> Column:
     """array<struct<kind, start, end, score>> of a text: code points, end exclusive, by start, then kind as in KINDS."""
 
     @F.pandas_udf("array<struct<kind string, start int, end int, score double>>")
+    @trimmed
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: spans_in(t, threshold, reach))
+            yield pd.Series([spans_in(t, threshold, reach) if t else [] for t in texts], dtype=object)
 
-    return find(text)
+    return find(_worth_reading(text))
 
 
 def joined(found: Column) -> Column:
@@ -164,7 +186,7 @@ def joined(found: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5, reach: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scored.
+    """One row per input row: the id, n_email, n_ip, n_card, n_phone, base_sha256, spans, then n_iban, n_local_phone, n_secret, n_spans (all kinds) and scored.
 
     A null text is empty: counts 0, no spans, the digest of the empty string. Repeated rows and null ids keep their
     rows; other columns aren't read; an empty table gives no rows. scored holds the spans with their scores. A narrow
@@ -173,7 +195,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, reach: int = 40, id_col: s
     found = docs.select(F.col(id_col), spans(text_or_empty(text_col), threshold, reach).alias("scored"))
     of = lambda kind: F.size(F.filter("scored", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("scored", lambda x: x["kind"].isin(*BASE))
-    return found.select(id_col, *(of(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("scored")).alias("spans"), "scored")
+    return found.select(id_col, *(of(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("scored")).alias("spans"), *(of(kind).alias(f"n_{kind}") for kind in ADDED), F.size("scored").cast("long").alias("n_spans"), "scored")
 
 
 def redacted(text: str, found: list[dict]) -> str:
@@ -190,8 +212,9 @@ def redact(text: Column, threshold: float = 0.5, reach: int = 40) -> Column:
     """The text without its personal data; null stays null."""
 
     @F.pandas_udf("string")
+    @trimmed
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else redacted(t, spans_in(t, threshold, reach)))
+            yield pd.Series([redacted(t, spans_in(t, threshold, reach)) if t else None for t in texts], dtype=object)
 
-    return clean(text)
+    return F.coalesce(clean(_worth_reading(text)), text)

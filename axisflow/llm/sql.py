@@ -72,7 +72,7 @@ def op5() -> str:
     """Base counts, histograms, references by language, and the verdict with the production thresholds."""
     classes = [_gone(p) for p in (*CLASSES, SYMBOLS)]
     common = [f"len(list_filter(w, lambda x: x = '{c}'))" for c in COMMON_WORDS]
-    sums = lambda c, k: "[" + ", ".join(f"sum(CASE WHEN n_words >= 50 THEN {c}[{i + 1}] ELSE 0 END)" for i in range(k)) + "]"
+    sums = lambda c, k, when: "[" + ", ".join(f"sum(CASE WHEN {when} THEN {c}[{i + 1}] ELSE 0 END)" for i in range(k)) + "]"
     return f"""
 WITH p AS (
   SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t, {_WORDS.replace('(t,', "(coalesce(text, ''),")} AS w FROM documents
@@ -86,15 +86,20 @@ WITH p AS (
     [{', '.join(classes)}, length(t) - length(array_to_string(w, ''))] AS c0, [{', '.join(common)}] AS m0
   FROM p
 ), h AS (
-  SELECT *, list_append(c0, n_chars - list_sum(c0)) AS c, list_append(m0, n_words - list_sum(m0)) AS m FROM f
+  SELECT * REPLACE (coalesce(n_repeat_words, 0) AS n_repeat_words), n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
+    list_append(c0, n_chars - list_sum(c0)) AS c, list_append(m0, n_words - list_sum(m0)) AS m FROM f LEFT JOIN r USING (k)
+), u0 AS (
+  SELECT lang, {sums('c', len(CLASSES) + 3, 'NOT base_failed')} AS rc FROM h GROUP BY lang
+), t AS (
+  SELECT h.*, NOT base_failed AND {_distance('c', 'rc')} <= 0.28 AS typical FROM h JOIN u0 ON h.lang IS NOT DISTINCT FROM u0.lang
 ), u AS (
-  SELECT lang, {sums('c', len(CLASSES) + 3)} AS rc, {sums('m', len(COMMON_WORDS) + 1)} AS rm FROM h GROUP BY lang
+  SELECT lang, {sums('c', len(CLASSES) + 3, 'typical')} AS rc, {sums('m', len(COMMON_WORDS) + 1, 'typical')} AS rm FROM t GROUP BY lang
 ), v AS (
-  SELECT h.*, coalesce(n_repeat_words, 0) AS n_repeat_words, {_distance('c', 'rc')} AS cd, {_distance('m', 'rm')} AS wd
-  FROM h LEFT JOIN r ON h.k = r.k JOIN u ON h.lang IS NOT DISTINCT FROM u.lang
+  SELECT t.*, {_distance('c', 'rc')} AS cd, {_distance('m', 'rm')} AS wd
+  FROM t JOIN u ON t.lang IS NOT DISTINCT FROM u.lang
 )
 SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
-  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_chars >= 200 AND cd > 0.28 OR n_chars >= 200 AND n_words >= 50 AND wd > 0.24 AND cd > 0.125) AS kept
+  base_failed,
+  NOT (base_failed OR n_chars >= 200 AND cd > 0.28 OR n_chars >= 200 AND n_words >= 50 AND wd > 0.24 AND cd > 0.125) AS kept
 FROM v
 """

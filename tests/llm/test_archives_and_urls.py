@@ -33,11 +33,13 @@ def test_revisits_and_odd_pages(spark):
 
 def test_round_trip_by_offset(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * 30) for i in range(50)]
-    plan = warc.plan_records(pages(spark, rows), 100, "page_id", "url", "html")
+    plan = warc.plan_records(pages(spark, rows), "page_id", "url", "html")
     raw, members = f"file://{tmp_path}/raw", f"file://{tmp_path}/members"
-    written = warc.write_monolithic(plan, raw, most=5000).collect()
-    assert sum(r["records"] for r in written) == 50 and len(written) > 3
-    index = warc.normalise(spark.createDataFrame(written), raw, members).persist()
+    written = spark.createDataFrame(warc.write_monolithic(plan, raw, most=5000).collect())
+    assert written.count() == 50 and written.select("archive").distinct().count() > 3
+    later = warc.revisits(written, 100, written.schema["place"].dataType)
+    assert later.count() == 0
+    index = warc.normalise(written, later, raw, members).persist()
     for r in index.collect():
         with open(f"{tmp_path}/members/{r['archive']}", "rb") as f:
             f.seek(r["offset"])
@@ -87,3 +89,13 @@ def test_urls_by_brute_force(spark):
     assert urls.judge_urls(pages(spark, rows).where("false"), none).count() == 0
 
 
+
+
+def test_a_hot_payload(spark):
+    rows = [(1000 - i, f"http://h/{i}", "<p>same</p>" * 20 if i % 3 == 0 else f"<p>{i}</p>" * 20) for i in range(300)]
+    got = warc.archive_pages(pages(spark, rows)).collect()
+    first = min(1000 - i for i in range(0, 300, 3))
+    assert len(got) == 300
+    for r in got:
+        hot = (1000 - r["page_id"]) % 3 == 0 and r["page_id"] != first
+        assert (r["record_type"], r["refers_to"]) == (("revisit", first) if hot else ("response", None))

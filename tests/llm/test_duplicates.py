@@ -25,7 +25,7 @@ def plain_fingerprint(t, words=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def plain_components(ids, linked):
+def plain_components(ids, linked, pairs=None):
     parent = list(range(len(ids)))
 
     def find(x):
@@ -33,11 +33,9 @@ def plain_components(ids, linked):
             x = parent[x]
         return x
 
-    for i in range(len(ids)):
-        for j in range(i):
-            if linked(i, j):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
+    for i, j in pairs if pairs is not None else ((i, j) for i in range(len(ids)) for j in range(i) if linked(i, j)):
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
     groups = {}
     for i, own in enumerate(ids):
         groups.setdefault(find(i), []).append(own)
@@ -86,10 +84,25 @@ def test_a_dense_group_gives_a_forest(spark):
     nodes = spark.createDataFrame([(f, f) for f in signed], "node long, fp long")
     links = simhash.links_of(nodes, 4, len(fps), 1, None)
     assert links.count() < 5 * len(fps)
+    split = components(simhash.links_of(nodes, 4, len(fps), 1, None, crowd=500), "a", "b")
+    assert {r["root"] for r in split.collect()} == {min(signed)} and split.count() == len(fps) - 1
     roots = components(links, "a", "b")
     assert {r["root"] for r in roots.collect()} == {min(signed)} and roots.count() == len(fps) - 1
 
 
+def test_a_group_that_shares_a_key_by_chance_is_split_by_further_bits():
+    rng = np.random.default_rng(9)
+    fp = rng.integers(0, 1 << 40, 6000, dtype=np.uint64)
+    fp[3000:] = fp[:3000] ^ (np.uint64(1) << rng.integers(0, 40, 3000).astype(np.uint64))
+    longs = np.zeros((len(fp), 0), dtype=np.uint64)
+    plain = simhash.spanning(fp, longs, 4, None, None)
+    for patience in (1, 64):
+        found = simhash.spanning(fp, longs, 4, None, patience)
+        assert all((np.bitwise_count(fp[a] ^ fp[b]) <= 4).all() for a, b in found)
+        groups = [plain_components(range(len(fp)), None, [(int(x), int(y)) for a, b in links for x, y in zip(a, b)]) for links in (plain, found)]
+        assert groups[0] == groups[1]
+
+
 def test_chains_and_stars_become_components(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
@@ -153,7 +166,7 @@ def test_leaks_by_brute_force(spark, docs_of):
             own[at:at] = [p.upper() + "," if rng.random() < 0.3 else p for p in part]
         docs.append((d, " ".join(own)))
     docs += [(181, items[43][1]), (None, items[5][1]), (182, "Same, " * 500)]
-    for few in (200_000, 0):
+    for few in (500_000, 700):  # one turn, and several
         got = decontam.contained(docs_of(*docs), spark.createDataFrame(items, "item_id long, text string").repartition(2), few=few).collect()
         assert {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in got} == plain_leaks(docs, items)
         assert len(got) == len(plain_leaks(docs, items))
