@@ -8,19 +8,17 @@ import tempfile
 import numpy as np
 from pyarrow import fs as pafs
 
-_BYTE = np.array([[*[i for i in range(8) if b >> i & 1], *[8] * 8][:8] for b in range(256)], dtype=np.int64)
-
-
 def _select(words: np.ndarray, ones: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the rank-th (from 0) set bit; ones[i]: set bits before word i."""
+    """Place of the rank-th (from 0) set bit; ones[i]: set bits before word i. Within a word, halves are told apart by their counts."""
     at = np.searchsorted(ones, rank, side="right") - 1
-    left = rank - ones[at]
-    bytes_ = words[at].view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(bytes_), axis=1, dtype=np.int64)
-    byte = (upto <= left[:, None]).sum(axis=1)
-    row = np.arange(len(rank))
-    left = left - np.where(byte > 0, upto[row, byte - 1], 0)
-    return 64 * at + 8 * byte + _BYTE[bytes_[row, byte], left]
+    left, x, place = (rank - ones[at]).astype(np.uint64), words[at], 64 * at
+    for half in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count(x & np.uint64((1 << half) - 1)).astype(np.uint64)
+        up = left >= low
+        left -= low * up
+        x = x >> (up * np.uint64(half))
+        place += up * half
+    return place
 
 
 class EliasFano:
@@ -76,10 +74,15 @@ class EliasFano:
         h = (x >> np.uint64(self.width)).astype(np.int64)
         inside = h < 64 * len(self.parts["high"]) - self.n - 1
         h = np.where(inside, h, 0)
-        flipped = _Flipped(self.parts["high"])
-        end = _select(flipped, self.parts["zeros"], h) - h
-        start = np.where(h > 0, _select(flipped, self.parts["zeros"], np.maximum(h - 1, 0)) - (h - 1), 0)
-        want, a, b = x & np.uint64((1 << self.width) - 1), start, end.copy()
+        flipped, high, zeros = _Flipped(self.parts["high"]), self.parts["high"], self.parts["zeros"]
+        start = np.where(h > 0, _select(flipped, zeros, np.maximum(h - 1, 0)) - (h - 1), 0)
+        # a value's high part is followed by a set bit for each value that has it
+        bit = start + h
+        rest = high[bit >> 6] >> (bit & 63).astype(np.uint64)
+        run = np.bitwise_count(rest & ~(rest + np.uint64(1))).astype(np.int64)
+        end, cut = start + run, np.flatnonzero(run >= 64 - (bit & 63))
+        end[cut] = _select(flipped, zeros, h[cut]) - h[cut]
+        want, a, b = x & np.uint64((1 << self.width) - 1), start.copy(), end.copy()
         while (open_ := np.flatnonzero(a < b)).size:
             mid = (a[open_] + b[open_]) // 2
             less = self.lows(mid) < want[open_]

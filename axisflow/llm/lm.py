@@ -79,6 +79,17 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def order_of(*columns: np.ndarray) -> np.ndarray:
+    """The order of rows by columns of numbers from 0, the first of most weight; ties in any order."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    if sum(bits) > 63:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c, n in zip(columns, bits):
+        key = key << np.uint64(n) | c.astype(np.uint64)
+    return np.argsort(key)
+
+
 def write_file(folder: str, sections: list[bytes]) -> str:
     """A new file of the sections, each after its length; its name. Files of lost attempts are named by no row."""
     system, path = pafs.FileSystem.from_uri(folder)
@@ -244,7 +255,15 @@ class Block:
         crowded = self.seen >= hot
         key[crowded] = mixed(key[crowded] + spread(self.u[crowded]))
         shard = (key % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((self.w.astype(np.int64) << 32 | self.u, shard << 32 | self.v) if self.w.dtype == np.int32 else (self.u, self.w, self.v, shard))
+        # places of words in the block are in the order of their numbers, and shorter
+        w = self.own.astype(np.int64) + 1
+        v, u = np.zeros_like(w), np.zeros_like(w)
+        first = np.cumsum(self.sizes) - self.sizes
+        v[1:] = w[:-1]
+        v[first] = BEGIN
+        u[1:] = v[:-1]
+        u[first] = BEGIN
+        order = order_of(shard, v, w, u)
         shard = shard[order]
         return order, shard, changes(shard, self.v[order], self.w[order], self.u[order])
 
@@ -304,11 +323,11 @@ def shard_trie(parts: list[bytes], m2: float, m3: float, tokens: int, distinct:
     v, at = np.unique(v, return_index=True)
     seen = seen[at]
     pv, pw, given, code = np.concatenate(pairs, axis=1)
-    order = np.lexsort((pw, pv))
+    order = order_of(pv, pw)
     order = order[changes(pv[order], pw[order])]
     pv, pw, given, code = pv[order], pw[order], given[order], code[order]
     tv, tw, tu, times = np.concatenate(triples, axis=1)
-    order = np.lexsort((tu, tw, tv))
+    order = order_of(np.searchsorted(v, tv), tw, tu)
     tv, tw, tu, times = tv[order], tw[order], tu[order], times[order]
     new = np.flatnonzero(changes(tv, tw, tu))
     times = np.add.reduceat(times, new) if len(new) else times
@@ -320,7 +339,7 @@ def shard_trie(parts: list[bytes], m2: float, m3: float, tokens: int, distinct:
     parent = np.searchsorted(v, pv)
     alone = 10 ** (code * (math.log10(tokens + 2) / 255)) / (tokens + distinct + 1)
     p2 = (count + m2 * alone) / (seen[parent] + m2)
-    order = np.lexsort((pair, tu, tv))
+    order = order_of(np.searchsorted(v, tv), tu, pair)
     tv, tu, pair, times = tv[order], tu[order], pair[order], times[order]
     new = changes(tv, tu)
     node = np.cumsum(new) - 1
@@ -339,7 +358,7 @@ def answers_of(trie: Trie, part: bytes, tokens: int, distinct: int) -> np.ndarra
     return np.rint(np.clip(-FINE * log, 0, 65535)).astype("u2")
 
 
-def score_texts(docs: DataFrame, m2: float = 1000.0, m3: float = 3.0, folds: int = 7, out_fold: int = 2, shards: int | None = None, block_chars: int = 8_000_000, bits: int = 8, shard_tokens: int = 3_000_000, shard_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", tries: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, m2: float = 1000.0, m3: float = 3.0, folds: int = 7, out_fold: int = 2, shards: int | None = None, block_chars: int = 8_000_000, bits: int = 8, shard_tokens: int = 1_500_000, shard_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", tries: str | None = None) -> DataFrame:
     """One row per input row: the id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows with crc32(id) modulo `folds` other than `out_fold` train the model, all are scored. A null text is empty: its
