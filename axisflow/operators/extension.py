@@ -46,6 +46,8 @@ def model_of(config: ModelConfig) -> Model:
     from axisflow.operators.gbdt import Gbdt, GbdtConfig
 
     own = config.gbdt()
+    if config.mode != "Train":
+        raise NotTrainable(f"mode {config.mode} needs a trained model, and none is stored")
     if len(config.target_columns) != 1:
         raise NotTrainable("trees take one target column")
-    return Gbdt(GbdtConfig(n_trees=own.n_trees, learning_rate=own.learning_rate, max_depth=own.max_depth), config.target_columns[0])
+    return Gbdt(GbdtConfig(n_trees=own.n_trees, learning_rate=own.learning_rate, max_depth=own.max_depth, subsample=own.sub_sample), config.target_columns[0])

@@ -62,7 +62,9 @@ def numbers_of(df: DataFrame, column: str | None = None) -> DataFrame:
 
 def congruential(spark: SparkSession, n: int) -> DataFrame:
     """i, value in [0, 1]: the low 32 bits of a linear congruence of the row's number, as a share of 2**32 - 1."""
-    x = (F.col("i") * F.lit(1284865837) + F.lit(4150755663)).bitwiseAND(F.lit(4294967295))
+    low = F.lit(4294967295)
+    # fixed values: the multiplier and the increment, whose high bits don't matter. Only i's low bits do, so nothing overflows
+    x = (F.col("i").bitwiseAND(low) * F.lit(1284865837) + F.lit(4150755663)).bitwiseAND(low)
     return spark.range(n).withColumnRenamed("id", "i").withColumn("value", (x / F.lit(4294967295.0)).cast("float"))
 
 

@@ -10,7 +10,7 @@ from axisflow.operators import staging
 from axisflow.plans import pipeline
 from axisflow.sources import config, tables
 
-PEOPLE = '''id,age,salary,department,city,score,status
+PEOPLE = '''no,years,pay,team,town,mark,state
 1,30,100.5,"Sales, north",Ulm,1e2,on
 2,,7,Ops,"a ""b""",x,off
 3,41,1f,"Sales, north","two
@@ -19,7 +19,7 @@ lines",.5,
 
 
 def conf(path, **changes):
-    base = {"name": "c", "version": config.VERSION, "data": {"source": {"type": "csv", "path": path}, "transformers": [{"operation": "categories", "params": {"columns": ["department", "status", "nosuch"]}}]}, "models": [], "output": {}}
+    base = {"name": "c", "version": config.VERSION, "data": {"source": {"type": "csv", "path": path}, "transformers": [{"operation": "categories", "params": {"columns": ["team", "state", "nosuch"]}}]}, "models": [], "output": {}}
     return json.dumps(base | changes)
 
 
@@ -33,11 +33,11 @@ def people(tmp_path):
 def test_csv_to_floats(spark, people):
     done = pipeline.staged(spark, config.parse(conf(people)))
     rows = done.table.orderBy(tables.RID).collect()
-    assert [r["department"] for r in rows] == [0, 1, 0]
-    assert [r["status"] for r in rows] == [0, 1, 2]  # the empty text is a category
-    assert [r["id"] for r in rows] == [1, 2, 3]
-    assert math.isnan(rows[1]["age"]) and math.isnan(rows[2]["salary"]) and rows[2]["score"] == 0.5
-    assert done.dictionaries["department"].orderBy("id").first()["category"] == "Sales, north"
+    assert [r["team"] for r in rows] == [0, 1, 0]
+    assert [r["state"] for r in rows] == [0, 1, 2]  # the empty text is a category
+    assert [r["no"] for r in rows] == [1, 2, 3]
+    assert math.isnan(rows[1]["years"]) and math.isnan(rows[2]["pay"]) and rows[2]["mark"] == 0.5
+    assert done.dictionaries["team"].orderBy("id").first()["category"] == "Sales, north"
 
 
 def test_ragged_and_empty(spark, tmp_path):
@@ -139,6 +139,56 @@ def test_store_and_cli(spark, tmp_path, people, capsys):
     assert run("report") == 0
 
 
+def nested(path, **model):
+    """A configuration with its columns below the scheme, its steps as `transformer` and typed hyperparameters."""
+    own = {"id": 0, "model_type": "GradientBoostedDecisionTree", "input_columns": ["years", "team"], "target_columns": ["flag"], "hyperparams": {"n_trees": 2, "learning_rate": 0.7, "max_depth": 1, "sub_sample": 1.0}, "mode": "Train"}
+    steps = [{"t_id": 0, "operation": "categories", "params": {"columns": ["team"]}}]
+    return {"name": "n", "version": config.VERSION, "data": {"source": {"type": "csv", "path": path}, "scheme": {"columns": ["years", "team", "flag"]}, "transformer": steps}, "models": [own | model], "output": {"final_output": ["m0"]}}
+
+
+def test_nested_configuration_stages_and_trains(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("a,b,c\n" + "".join(f"{i},t{i % 2},{int(i >= 10)}\n" for i in range(20)))
+    c = config.parse(json.dumps(nested(str(path))))
+    assert c.source.scheme == ("years", "team", "flag") and c.models[0].gbdt() == config.GbdtParameters(2, 0.7, 1, 1.0)
+    out = pipeline.run(spark, c)
+    margins = {r["margin"] for r in out["m0"].collect()}
+    # two stumps at 9: gradients of 0.5, hessians of 0.25, lambda 1, ten rows on each side
+    first = 0.7 * 5 / 3.5
+    p = 1 / (1 + math.exp(-first))
+    want = first + 0.7 * 10 * (1 - p) / (10 * p * (1 - p) + 1)
+    assert sorted(margins) == pytest.approx([-want, want])
+    second = nested(str(path))
+    second["models"].append(second["models"][0] | {"id": 1, "input_from": "m0"})
+    second["output"]["final_output"] = ["m1"]
+    out = pipeline.run(spark, config.parse(json.dumps(second)))
+    assert set(out) == {"data", "m1"} and len(out["m1"].first()["v"]) == 3
+
+
+@pytest.mark.parametrize("change", [{"hyperparams": {"n_trees": "many"}}, {"hyperparams": {"max_depth": -1}}, {"hyperparams": [1]}, {"mode": "Sleep"}, {"input_from": "m7"}, {"input_columns": ["nosuch"]}, {"model_type": "NeuralNetwork", "hyperparams": {"layers": ["a"]}}, {"model_type": "QLearning", "hyperparams": {"episodes": 0.5}}])
+def test_models_are_checked(change):
+    with pytest.raises(errors.InvalidConfig):
+        config.parse(json.dumps(nested("x", **change)))
+
+
+def test_models_that_cannot_run_are_read():
+    c = config.parse(json.dumps(nested("x", model_type="NeuralNetwork", hyperparams={"layers": [3, 2], "activation": "relu", "epochs": 4})))
+    assert config.typed("NeuralNetwork", c.models[0].parameters) == config.NetworkParameters((3, 2), "relu", None, 4)
+    c = config.parse(json.dumps(nested("x", mode="Generate")))
+    with pytest.raises(errors.NotTrainable):
+        pipeline.model_of(c.models[0])
+
+
+def test_activation_takes_the_first_of_a_name(spark, tmp_path):
+    store = config.ConfigStore(spark, str(tmp_path / "store"))
+    for name, path in (("x", "/z"), ("x", "/a"), ("y", "/y"), ("y", "/y")):
+        store.add(name, conf(path))
+    for name, path in (("x", "/z"), ("y", "/y")):
+        store.activate(name)
+        assert store.active().source.path == path and store._table().where("active").count() == 1
+    assert store.names() == ["x", "x", "y", "y"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(0, 2.0, 1.0, 1.0), (1, 1.0, 2.0, 3.0)], "i int, given double, got double, want double")
     tables.write_verification(df, str(tmp_path / "v"), F.col("got"), F.col("want"), F.col("i"), F.col("given"))
