@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir; a temporary one is set only where none is."""
+    """df written to the folder of spark.checkpoint.dir. Where none is set, a temporary one is on one machine (local
+    masters), and it is an error on a cluster, whose executors wouldn't see it."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

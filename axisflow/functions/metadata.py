@@ -77,12 +77,9 @@ class Metadata:
         return tuple(flat // s % n for s, n in zip(row_major(self.shape), self.shape))
 
     def stacked(self) -> Metadata:
-        """What two tensors of this shape become as one: rows of a row, columns of a column, else a last axis of two."""
-        if self.ndim == 2 and self.shape[0] == 1:
-            return Metadata.of((2, self.shape[1]))
-        if self.ndim == 2 and self.shape[1] == 1:
-            return Metadata.of((self.shape[0], 2))
-        return Metadata((*(2 * s for s in self.stride), 1), (*self.shape, 2))
+        """Two tensors of this shape as one: a vector's axis of one becomes two, any other shape gets a last axis of two."""
+        ones = [i for i, n in enumerate(self.shape) if n == 1] if self.ndim == 2 else []
+        return Metadata.of([2 if i == ones[0] else n for i, n in enumerate(self.shape)] if ones else [*self.shape, 2])
 
     def _rank_two(self) -> None:
         if self.ndim != 2:

@@ -1,8 +1,8 @@
 """Gradient-boosted trees with exact greedy splits (Chen and Guestrin 2016), grown level by level.
 
-A level is one aggregation: gradients and hessians are summed by (node, feature, value) on the map side, and prefix
-sums over distinct values give every candidate. Only the winners, at most one a node, reach the driver; they come
-back to the rows as a column expression. Values at most the threshold go left; larger ones, NaN and null go right.
+A level is one aggregation: gradients and hessians are summed by (node, feature, value) on the map side, and running
+sums over ranges of distinct values give every candidate. Only the winners, at most one a node, with their children's
+weights, reach the driver; they come back to the rows as a column expression. Values at most the threshold go left; larger ones, NaN and null go right.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisflow.functions.lineage import kept
 from axisflow.operators.elementwise import sigmoid
 from axisflow.operators.extension import Model
+from axisflow.operators.reduce import running
 
 
 @dataclass(frozen=True)
@@ -75,22 +76,22 @@ def leaf_weight(g: Column, h: Column, c: GbdtConfig) -> Column:
 def candidates(long: DataFrame, c: GbdtConfig) -> DataFrame:
     """node, feature, x, gl, hl, g, h, gain: every threshold of every node, from (node, feature, x, g, h)."""
     sums = long.groupBy("node", "feature", "x").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    each = Window.partitionBy("node", "feature")
-    upto = each.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = sums.select("node", "feature", "x", F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"), F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h"))
+    d = running(sums, ["node", "feature"], ["x"], ["g", "h"])
+    d = d.select("node", "feature", "x", F.col("g_upto").alias("gl"), F.col("h_upto").alias("hl"), F.col("g_all").alias("g"), F.col("h_all").alias("h"))
     gl, hl, gr, hr = F.col("gl"), F.col("hl"), F.col("g") - F.col("gl"), F.col("h") - F.col("hl")
     d = d.where(~F.isnan("x") & (hl >= c.min_child_weight) & (hr >= c.min_child_weight) & (hr > 0))
     return d.withColumn("gain", 0.5 * (quality(gl, hl, c) + quality(gr, hr, c) - quality(F.col("g"), F.col("h"), c)))
 
 
 def best_splits(long: DataFrame, c: GbdtConfig) -> DataFrame:
-    """node, feature, x, gain: the best threshold of each node; of equal gains the least feature, then the least x.
+    """node, feature, x, gain, left, right: the best threshold of each node and its children's weights; of equal gains the
+    least feature, then the least x.
 
     Splits of gain under gamma, or of none, aren't made."""
-    best = F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("x")).alias("t")))
+    sides = [leaf_weight(F.col("gl"), F.col("hl"), c).alias("left"), leaf_weight(F.col("g") - F.col("gl"), F.col("h") - F.col("hl"), c).alias("right")]
+    best = F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("x")).alias("t"), *sides))
     found = candidates(long, c).groupBy("node").agg(best.alias("b"))
-    return found.select("node", (-F.col("b.f")).alias("feature"), (-F.col("b.t")).alias("x"), F.col("b.gain").alias("gain")).where((F.col("gain") > 0) & (F.col("gain") >= c.gamma))
+    return found.select("node", (-F.col("b.f")).alias("feature"), (-F.col("b.t")).alias("x"), "b.gain", "b.left", "b.right").where((F.col("gain") > 0) & (F.col("gain") >= c.gamma))
 
 
 def exploded(rows: DataFrame, features: list[int] | None = None) -> DataFrame:
@@ -115,28 +116,29 @@ def grow(rows: DataFrame, width: int, c: GbdtConfig, seed: int) -> Tree:
     tree = Tree({0: Node()})
     rng = np.random.default_rng(seed)
     features = None if c.colsample >= 1 else sorted(rng.choice(width, max(1, round(c.colsample * width)), replace=False).tolist())
-    now = rows.withColumn("node", F.lit(0))
-    for depth in range(c.max_depth + 1):
-        level = now.where(F.col("node") >= (1 << depth) - 1)
-        weights = level.groupBy("node").agg(leaf_weight(F.sum("g"), F.sum("h"), c).alias("w")).collect()
-        for r in weights:
-            tree.nodes[r["node"]].weight = r["w"]
-        if depth == c.max_depth or not weights:
-            break
-        chosen = best_splits(exploded(level, features), c).collect()
+    total = rows.agg(leaf_weight(F.sum("g"), F.sum("h"), c).alias("w")).first()
+    tree.nodes[0].weight = total["w"] or 0.0
+    for depth in range(c.max_depth):
+        level = rows.withColumn("node", node_of(F.col("v"), tree)).where(F.col("node") >= (1 << depth) - 1)
+        chosen = best_splits(exploded(level, features), c).collect()  # at most one row a node
         if not chosen:
             break
-        step = F.col("node")
         for r in chosen:
             k = r["node"]
             tree.nodes[k].feature, tree.nodes[k].split, tree.nodes[k].gain, tree.nodes[k].leaf = int(r["feature"]), float(r["x"]), float(r["gain"]), False
-            tree.nodes[2 * k + 1], tree.nodes[2 * k + 2] = Node(), Node()
-            left = F.coalesce(F.col("v")[int(r["feature"])] <= float(r["x"]), F.lit(False))
-            step = F.when(F.col("node") == k, F.when(left, 2 * k + 1).otherwise(2 * k + 2)).otherwise(step)
-        now = kept(now.withColumn("node", step))
+            tree.nodes[2 * k + 1], tree.nodes[2 * k + 2] = Node(weight=float(r["left"])), Node(weight=float(r["right"]))
     return tree
 
 
+def node_of(v: Column, tree: Tree, k: int = 0) -> Column:
+    """The leaf that a row's features lead to, as an expression, so that no level is written anywhere."""
+    node = tree.nodes[k]
+    if node.leaf:
+        return F.lit(k)
+    left = F.coalesce(F.get(v, F.lit(node.feature)) <= node.split, F.lit(False))
+    return F.when(left, node_of(v, tree, 2 * k + 1)).otherwise(node_of(v, tree, 2 * k + 2))
+
+
 def _margins(trees: list[Tree], c: GbdtConfig):
     """A function from a matrix of features to summed, shrunken weights."""
     flat = []

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisflow.functions.lineage import kept
+
 _FOLD = {"sum": (0.0, lambda s, x: s + x), "prod": (1.0, lambda s, x: s * x)}
 
 
@@ -59,16 +61,24 @@ def radix_histogram(df: DataFrame, key: str, block: Column, step: int) -> DataFr
     return df.groupBy(block.alias("block"), digit(F.col(key), step).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def running(df: DataFrame, group: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """df with, for each of `values`, its sum up to and with the row in order within the group as `<value>_upto` and over the group as `<value>_all`.
+
+    Rows are dealt out by ranges of group and order and kept; a window holds at most a partition of a group, and what
+    lies before it comes from sums by partition, so that no task gets a whole group."""
+    spread = kept(df.repartitionByRange(*group, *order)).withColumn("_p", F.spark_partition_id())
+    parts = spread.groupBy("_p", *group).agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    of = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # a row for each partition and group
+    before = of.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_before") for v in values] + [F.sum(f"_{v}").over(of).alias(f"{v}_all") for v in values]
+    inside = Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = spread.select("*", *(F.sum(v).over(inside).alias(f"_{v}_inside") for v in values)).join(parts.select("_p", *group, *sums), ["_p", *group])
+    return placed.select(*df.columns, *((F.col(f"_{v}_before") + F.col(f"_{v}_inside")).alias(f"{v}_upto") for v in values), *(f"{v}_all" for v in values))
+
+
 def radix_offsets(histogram: DataFrame) -> DataFrame:
-    """block, digit, n, before: entries before a block's digit, in order of digit, then block.
-
-    In two levels: within a digit by a window over its blocks, and before a digit by sums over at most 16 rows."""
-    own = Window.partitionBy("digit").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = histogram.groupBy("digit").agg(F.sum("n").alias("_t"))
-    lower = totals.select(F.col("digit").alias("_d"), F.col("_t").alias("_n"))
-    bases = totals.join(F.broadcast(lower), F.col("_d") < F.col("digit"), "left").groupBy("digit").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_base"))
-    inside = histogram.withColumn("_inside", F.coalesce(F.sum("n").over(own), F.lit(0)))
-    return inside.join(F.broadcast(bases), "digit").select("block", "digit", "n", (F.col("_base") + F.col("_inside")).alias("before"))
+    """block, digit, n, before: entries before a block's digit, in order of digit, then block."""
+    return running(histogram, [], ["digit", "block"], ["n"]).select("block", "digit", "n", (F.col("n_upto") - F.col("n")).alias("before"))
 
 
 def radix_rank(df: DataFrame, key: str, pos: str, block: Column, step: int) -> DataFrame:

@@ -35,9 +35,11 @@ def with_positions(df: DataFrame, *order: str | Column) -> DataFrame:
     """df with pos, each row's place from 0 in the global order, without a window over all rows.
 
     Rows are dealt out by ranges and sorted within these; the sorted table is kept, so that its partitions can't change
-    between counting and numbering; then each partition starts where those before it end. Ties get distinct places."""
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    spread = kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_id", F.monotonically_increasing_id())
+    between counting and numbering; then each partition starts where those before it end. Ties get distinct places; a
+    salt as the last key lets ranges part them, however many they are."""
+    keys = [*(F.col(c) if isinstance(c, str) else c for c in order), F.col("_salt")]
+    salted = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    spread = kept(salted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt")).withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftright("_id", 33)
     counts = spread.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

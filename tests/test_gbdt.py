@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,46 @@ def test_model_entry_point(spark, rows):
     with pytest.raises(errors.NotTrainable):
         model_of(Model("QLearning"))
     assert Order(lambda c, d: d.limit(c), 2).run(rows).count() == 2
+
+
+def plain_trees(x, y, c):
+    """The same trees by loops over rows."""
+    margin, trees = np.full(len(y), c.base_score), []
+    for _ in range(c.n_trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h, tree, at = p - y, p * (1 - p), {}, np.zeros(len(y), dtype=int)
+        score = lambda a, b: a * a / (b + c.lam)
+        for k in range(2 ** (c.max_depth + 1) - 1):
+            mine = at == k
+            if not mine.any():
+                continue
+            tree[k] = (None, None, -g[mine].sum() / (h[mine].sum() + c.lam))
+            best = (0.0, None, None)
+            for f in range(x.shape[1]) if k < 2**c.max_depth - 1 else ():
+                for t in sorted(set(x[mine, f].tolist())):
+                    left = mine & (x[:, f] <= t)
+                    gl, hl, gr, hr = g[left].sum(), h[left].sum(), g[mine & ~left].sum(), h[mine & ~left].sum()
+                    gain = 0.5 * (score(gl, hl) + score(gr, hr) - score(gl + gr, hl + hr))
+                    if hl >= c.min_child_weight and hr >= c.min_child_weight and hr > 0 and gain > best[0] + 1e-12:
+                        best = (gain, f, t)
+            if best[1] is not None:
+                tree[k] = (best[1], best[2], tree[k][2])
+                at[mine] = np.where(x[mine, best[1]] <= best[2], 2 * k + 1, 2 * k + 2)
+        margin = margin + c.learning_rate * np.array([tree[k][2] for k in at])
+        trees.append(tree)
+    return margin, trees
+
+
+def test_training_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 4)).round(1)
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5) ^ (rng.random(120) < 0.1)).astype(float)
+    c = gbdt.GbdtConfig(n_trees=3, max_depth=3)
+    margin, trees = plain_trees(x, y, c)
+    df = spark.createDataFrame([(i, r.tolist(), float(t)) for i, (r, t) in enumerate(zip(x, y))], "i long, v array<double>, y double")
+    got = gbdt.train(df, c, "y")
+    for mine, theirs in zip(got, trees):
+        assert {k: (n.feature, n.split) for k, n in mine.nodes.items()} == {k: t[:2] for k, t in theirs.items()}
+        assert all(n.weight == pytest.approx(theirs[k][2]) for k, n in mine.nodes.items())
+    scores = {r["i"]: r["margin"] for r in gbdt.predict(df, got, c).collect()}
+    assert [scores[i] for i in range(120)] == pytest.approx(margin.tolist())
