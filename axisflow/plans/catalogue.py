@@ -79,6 +79,28 @@ def generate_rank_pattern(spark, sf_dir):
     return tables.rank_pattern(spark, SHARDS, 2_500)
 
 
+def generate_indices(spark, sf_dir):
+    return tables.indices(spark, 10_000)
+
+
+def merge_rows(spark, sf_dir):
+    """Each vector and its negation, merged into one sorted row."""
+    v = _vectors(spark, sf_dir)
+    return _long(v.withColumn("v", sorting.merged_rows(sorting.sorted_row(F.col("v")), sorting.sorted_row(F.transform("v", elementwise.negate)))))
+
+
+def float_bits(spark, sf_dir):
+    """Entries by the order of their bits, and back."""
+    flat = _long(_vectors(spark, sf_dir)).withColumn("u", sorting.ordered_bits(F.col("x")))
+    return flat.select("i", "pos", "u", sorting.float_of_bits(F.col("u")).cast("double").alias("x"))
+
+
+def preview_ends(spark, sf_dir):
+    """The first and the last 64 order keys."""
+    first, last = sorting.preview(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return first.withColumn("what", F.lit("first")).unionByName(last.withColumn("what", F.lit("last")))
+
+
 def _line(spark, sf_dir, op):
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(op(F.col("l_discount")), 9).alias("value"))
     return lines.groupBy("l_orderkey", "l_linenumber", "l_partkey", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -205,9 +227,9 @@ def _all_reduce(spark, sf_dir, op):
     return collectives.all_reduce(_shards(spark, sf_dir)[0], op, SHARDS).withColumn("x", F.round("x", 6))
 
 
-def coll_reduce_scatter(spark, sf_dir):
+def _reduce_scatter(spark, sf_dir, op):
     parts, places = _shards(spark, sf_dir)
-    return collectives.reduce_scatter(parts, "sum", -(-places[0] // SHARDS) * SHARDS, SHARDS).withColumn("x", F.round("x", 6))
+    return collectives.reduce_scatter(parts, op, -(-places[0] // SHARDS) * SHARDS, SHARDS).withColumn("x", F.round("x", 6))
 
 
 def coll_all_gather(spark, sf_dir):
@@ -248,8 +270,12 @@ def gbdt_importance(spark, sf_dir):
     return gbdt.importance(_stump(spark, sf_dir)).select("feature", F.round("importance", 6).alias("importance"))
 
 
+#: Trees of the trained query: all rows and features, fewer and lower trees than the operator's defaults (README has why).
+FEW_TREES = gbdt.GbdtConfig(max_depth=3, n_trees=10)
+
+
 def gbdt_train_predict(spark, sf_dir):
-    c = gbdt.GbdtConfig()
+    c = FEW_TREES
     rows = _labelled(spark, sf_dir).select("vec_id", "v", "y")
     return gbdt.predict(rows, gbdt.train(rows, c, "y"), c).select("vec_id", "y", "margin", "probability")
 
@@ -283,10 +309,10 @@ def load_balance_pick(spark, sf_dir):
 
 def queries() -> dict:
     single = (
-        flagship, stage_categories, stage_category_dictionary, stage_to_f32, csv_numeric_column, generate_congruential, generate_rank_pattern,
+        flagship, stage_categories, stage_category_dictionary, stage_to_f32, csv_numeric_column, generate_congruential, generate_rank_pattern, generate_indices, merge_rows, float_bits, preview_ends,
         ew_concat, ew_stack, ew_fill, ew_pad_pow2, ew_reshape, red_columns, radix_histogram, radix_offsets, radix_rank, radix_pass,
         sort_axis1, sort_axis1_desc, argsort_axis1, sort_global, argsort_stable, sort_verify, sort_match_rate, sort_indices_valid,
-        coll_reduce_scatter, coll_all_gather, coll_broadcast, gbdt_gradients, gbdt_best_split, gbdt_leaf_weights, gbdt_importance, gbdt_train_predict,
+        coll_all_gather, coll_broadcast, gbdt_gradients, gbdt_best_split, gbdt_leaf_weights, gbdt_importance, gbdt_train_predict,
         stats_run_summary, stats_rating, stats_throughput, group_metrics, load_balance_pick,
     )
     out = {f.__name__: f for f in single}
@@ -298,10 +324,14 @@ def queries() -> dict:
             out[f"red_{op}_axis{axis}"] = partial(_reduced, op=op, axis=axis)
     for op in collectives.OPERATIONS:
         out[f"coll_all_reduce_{op}"] = partial(_all_reduce, op=op)
+        out["coll_reduce_scatter" if op == "sum" else f"coll_reduce_scatter_{op}"] = partial(_reduce_scatter, op=op)
     return out
 
 
 _LONG = "(SELECT vec_id AS i, CAST(unnest(range(len(embedding))) AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+#: m: the 31 bits below the sign of a normal float, from its exponent e and fraction; zero has none.
+_BITS = f"""SELECT i, pos, x, CASE WHEN x = 0 THEN 0 ELSE CAST((e + 127) * 8388608 + (abs(x) / pow(2, e) - 1) * 8388608 AS BIGINT) END AS m
+  FROM (SELECT *, CASE WHEN x = 0 THEN 0 ELSE floor(log2(abs(x))) + CASE WHEN abs(x) < pow(2, floor(log2(abs(x)))) THEN -1 WHEN abs(x) >= pow(2, floor(log2(abs(x))) + 1) THEN 1 ELSE 0 END END AS e FROM {_LONG})"""
 _IDS = "(SELECT event_type, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INT) AS id FROM events GROUP BY event_type)"
 _NUMBER = r"'^[+-]?(inf|infinity|nan|([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?)$'"
 #: i from 0 in order of the ids, the number of rows n, the width w of the longest.
@@ -330,6 +360,10 @@ def oracle_sql() -> dict:
         "csv_numeric_column": "SELECT value, count(*) AS n FROM (SELECT try_cast(trim(CASE WHEN event_id % 3 = 0 THEN props ELSE CAST(user_id AS VARCHAR) END) AS DOUBLE) AS value FROM events) WHERE value IS NOT NULL GROUP BY value",
         "generate_congruential": "SELECT range AS i, round(CAST(CAST(((range * 1284865837 + 4150755663) & 4294967295) / 4294967295.0 AS FLOAT) AS DOUBLE), 6) AS value FROM range(100000)",
         "generate_rank_pattern": "SELECT CAST(range // 2500 AS INT) AS shard, range % 2500 AS pos, CAST(range // 2500 * 1000 + range % 2500 % 1000 AS DOUBLE) AS x FROM range(10000)",
+        "generate_indices": "SELECT range AS i, range AS value FROM range(10000)",
+        "merge_rows": f"SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY x) - 1 AS INT) AS pos, x FROM (SELECT i, x FROM {_LONG} UNION ALL SELECT i, -x FROM {_LONG})",
+        "float_bits": f"SELECT i, pos, CASE WHEN x < 0 THEN 2147483647 - m ELSE 2147483648 + m END AS u, x FROM ({_BITS})",
+        "preview_ends": "SELECT o_orderkey, 'first' AS what FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 64) UNION ALL SELECT o_orderkey, 'last' FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 64)",
         "ew_concat": f"SELECT i, pos, round(x, 9) AS x FROM {_LONG} UNION ALL SELECT i, CAST(pos + n AS INT), round(-x, 9) FROM {_LONG} JOIN (SELECT vec_id AS i, len(embedding) AS n FROM embeddings) USING (i)",
         "ew_stack": f"SELECT i, pos, round(x, 9) AS a, round(1 - x, 9) AS b FROM {_LONG}",
         "ew_fill": "SELECT o_orderkey AS i, CAST(unnest(range(3)) AS INT) AS pos, o_totalprice AS x FROM orders",
@@ -349,7 +383,6 @@ def oracle_sql() -> dict:
         "sort_verify": "SELECT 'given' AS what, min(p) AS first_descent FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, o_totalprice < lag(o_totalprice) OVER (ORDER BY o_orderkey) AS d FROM orders) WHERE d UNION ALL SELECT 'sorted', CAST(NULL AS BIGINT)",
         "sort_match_rate": "SELECT count(*) AS n, CAST(sum(m) AS BIGINT) AS matches, round(100 * avg(m), 6) AS percent FROM (SELECT CAST(abs(a.x - b.x) < 1e-6 AS INT) AS m FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS p, o_totalprice AS x FROM orders) a JOIN (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS p, o_totalprice AS x FROM orders) b USING (p))",
         "sort_indices_valid": "SELECT bool_and(abs(o.o_totalprice - s.value) < 1e-3) AS valid FROM (SELECT o_totalprice AS value, o_orderkey AS index FROM orders) s JOIN orders o ON o.o_orderkey = s.index",
-        "coll_reduce_scatter": f"SELECT CAST(pos // k AS INT) AS shard, pos % k AS pos, round(sum(x), 6) AS x FROM (SELECT *, ((n + 3) // 4 * w + 3) // 4 AS k FROM {_SHARD}) GROUP BY k, pos",
         "coll_all_gather": f"SELECT e.shard, CAST(coalesce(list_sum(list_transform(range(s.shard), lambda j: (n - j + 3) // 4)), 0) * w AS BIGINT) + pos AS pos, x FROM {_SHARD} s CROSS JOIN {_EACH} e",
         "coll_broadcast": f"SELECT e.shard, pos, x FROM {_SHARD} s CROSS JOIN {_EACH} e WHERE s.shard = 2",
         "gbdt_gradients": "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))) - CAST(label >= 5 AS INT), 9) AS g, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))) * (1 - 1 / (1 + exp(-CAST(embedding[1] AS DOUBLE)))), 9) AS h FROM embeddings",
@@ -377,5 +410,6 @@ def oracle_sql() -> dict:
         out[f"red_argmax_axis{axis}"] = f"SELECT {key}, CAST(arg_max({at}, (x, -{at})) AS BIGINT) AS value FROM {_LONG} GROUP BY {key}"
         out[f"red_argmin_axis{axis}"] = f"SELECT {key}, CAST(arg_min({at}, (x, {at})) AS BIGINT) AS value FROM {_LONG} GROUP BY {key}"
     for op, sql in (("sum", "sum(x)"), ("prod", "product(x)"), ("max", "max(x)"), ("min", "min(x)"), ("avg", "avg(x)")):
+        out["coll_reduce_scatter" if op == "sum" else f"coll_reduce_scatter_{op}"] = f"SELECT CAST(pos // k AS INT) AS shard, pos % k AS pos, round({sql}, 6) AS x FROM (SELECT *, ((n + 3) // 4 * w + 3) // 4 AS k FROM {_SHARD}) GROUP BY k, pos"
         out[f"coll_all_reduce_{op}"] = f"SELECT shard, pos, round(x, 6) AS x FROM (SELECT pos, {sql} AS x FROM {_SHARD} GROUP BY pos) CROSS JOIN {_EACH}"
     return out

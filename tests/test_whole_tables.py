@@ -55,7 +55,7 @@ def test_gather_broadcast_and_scatter_take_every_row(spark, uneven, which):
     assert np.array_equal(sent.x, parts[2])
     n = -(-max(map(len, parts)) // 4) * 4
     want = sum(np.pad(p, (0, n - len(p))) for p in parts)[: max(map(len, parts))]
-    got = catalogue.coll_reduce_scatter(spark, sf).withColumn("at", F.col("shard") * (n // 4) + F.col("pos")).orderBy("at").toPandas()
+    got = catalogue.queries()["coll_reduce_scatter"](spark, sf).withColumn("at", F.col("shard") * (n // 4) + F.col("pos")).orderBy("at").toPandas()
     assert got["at"].tolist() == list(range(len(want))) and np.allclose(got.x, want, atol=1e-5)
 
 
@@ -87,8 +87,8 @@ def test_splits_see_every_feature(spark, last):
     assert [(r["node"], r["weight"]) for r in catalogue.gbdt_leaf_weights(spark, last).orderBy("node").collect()] == [(1, round(-50 / 26, 6)), (2, round(50 / 26, 6))]
 
 
-def test_training_uses_the_operators_defaults(spark, monkeypatch):
+def test_training_takes_all_rows_and_features(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(catalogue.gbdt, "train", lambda rows, c, label: seen.append((c, len(rows.first()["v"]))) or [catalogue.gbdt.Tree({0: catalogue.gbdt.Node()})])
+    monkeypatch.setattr(catalogue.gbdt, "train", lambda rows, c, label: seen.append((c.n_trees, c.max_depth, c.bins, rows.count(), len(rows.first()["v"]))) or [catalogue.gbdt.Tree({0: catalogue.gbdt.Node()})])
     assert catalogue.gbdt_train_predict(spark, SF).count() == 500
-    assert seen == [(catalogue.gbdt.GbdtConfig(), 64)]
+    assert seen == [(10, 3, None, 500, 64)]
