@@ -45,8 +45,24 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-#: xxhash64 of the common words, as Spark's function has it.
+#: xxhash64 of the common words, as Spark's function has it, and a divisor by which all of them leave another remainder.
 _COMMON = [h - (1 << 64) if (h := xxhash.xxh64_intdigest(w.encode(), 42)) >> 63 else h for w in COMMON_WORDS]
+_APART = next(p for p in range(len(_COMMON), 1 << 16) if len({h % p for h in _COMMON}) == len(_COMMON))
+#: A letter for each common word.
+_LETTERS = [chr(33 + i) for i in range(len(_COMMON))]
+
+
+def _common_counts(h: Column) -> Column:
+    """How often each common word is among the word hashes, then how many others there are.
+
+    Known words become a letter each, of one short text, in which letters are counted by taking them out."""
+    letter = [""] * _APART
+    for own, c in zip(_COMMON, _LETTERS):
+        letter[own % _APART] = c
+    known = F.transform(F.filter(h, lambda x: x.isin(_COMMON)), lambda x: F.get(F.array(*map(F.lit, letter)), F.pmod(x, F.lit(_APART)).cast("int")))
+    long = lambda c: c.cast("long")
+    counts = lambda s: F.array(*(long(F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))) for c in _LETTERS), long(F.size(h) - F.length(s)))
+    return _bound(F.array_join(known, ""), counts)
 
 
 def text_features(docs: DataFrame, id_col: str, text_col: str, group_col: str | None) -> DataFrame:
@@ -71,11 +87,10 @@ def text_features(docs: DataFrame, id_col: str, text_col: str, group_col: str |
     long = lambda c: c.cast("long")
     rest = F.col("rest")
     classes = [F.length("t") - F.length(rest), *(_removed(rest, p) for p in CLASSES[1:]), _removed(rest, SYMBOLS), _removed(rest, BLANK)]
-    known = F.filter("h", lambda h: h.isin(_COMMON))
-    common = _bound(known, lambda k: F.array(*(long(F.size(k) - F.size(F.array_remove(k, F.lit(h)))) for h in _COMMON), long(F.size("h") - F.size(k))))
+    # a slice, as of a plain array Spark would put each entry's expression into every use of it
     d = d.select(
         "_id", "_group", long(F.col("n")).alias("n_words"), long(repeated).alias("n_repeat_words"), long(F.length("t")).alias("n_chars"),
-        _bound(lines, lambda x: long(F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"), F.array(*map(long, classes)).alias("c"), common.alias("common"),
+        _bound(lines, lambda x: long(F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"), F.slice(F.array(*map(long, classes)), 1, len(classes)).alias("c"), _common_counts(F.col("h")).alias("common"),
     )
     left = F.col("n_chars") - reduce(add, (F.col("c")[i] for i in range(len(CLASSES) + 2)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
