@@ -14,6 +14,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,37 +54,50 @@ class ChunkIds:
     @staticmethod
     def plain(word: str) -> bool:
         """Whether it is one piece whatever its case: these go to the library's merges without its normalisers."""
-        return word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
+        return word.isalpha() and (word.isascii() or max(word) < "\u0180" and "\u0130" not in word)
 
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, ...]:
-        """The chunk, or its letters in lower case and the marks after them, which the vocabulary's pattern parts.
+    def word(self, word: str) -> bytes:
+        """Ids of a plain word in lower case."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return as_bytes([t.id for t in self.tokenizer.model.tokenize(letters)])
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put chunks in `known`. One that is plain but for marks after it is its letters in lower case and the marks,
+        which the vocabulary's pattern parts; these go in `pieces`, which outlives `known`: they are fewer than chunks.
 
         Letters below U+0180 but the dotted capital I have one lower case each and compose with nothing.
         """
-        core = chunk.rstrip(".,;:!?|*&%$#")
-        if ChunkIds.plain(core):
-            return (core.lower(), chunk[len(core) :]) if len(core) < len(chunk) else (core.lower(),)
-        return (chunk,)
+        known, pieces, plain, rest = self.known, self.pieces, self.plain, []
+        if len(pieces) + len(chunks) > self.memo:
+            pieces.clear()
+        for chunk in chunks:
+            core = chunk.rstrip(".,;:!?|*&%$#")
+            if not plain(core):
+                rest.append(chunk)
+                continue
+            low = core.lower()
+            if (ids := pieces.get(low)) is None:
+                ids = pieces[low] = self.word(low)
+            if len(core) < len(chunk):
+                marks = chunk[len(core) :]
+                if (more := pieces.get(marks)) is None:
+                    more = pieces[marks] = self.raw(marks)
+                ids += more
+            known[chunk] = ids
+        if rest:
+            for chunk, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                known[chunk] = as_bytes(got.ids)
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         chunks = [chunks_of(t) for t in texts]
-        wanted = set().union(*chunks)
-        if len(self.known) + len(wanted) > self.memo:
-            self.known.clear(), self.pieces.clear()
-        known, pieces = self.known, self.pieces
-        split = {c: self.parts(c) for c in wanted - known.keys()}
-        new = set().union(*split.values()) - pieces.keys()
-        words = [p for p in new if self.plain(p)]
-        for p in words:
-            letters = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-            pieces[p] = as_bytes([t.id for t in self.tokenizer.model.tokenize(letters)])
-        if rest := list(new.difference(words)):
-            for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-                pieces[piece] = as_bytes(got.ids)
-        for chunk, own in split.items():
-            known[chunk] = b"".join([pieces[p] for p in own])
-        get = known.__getitem__
+        wanted = set(chain.from_iterable(chunks))
+        # a difference with a dict looks up the few; one with its keys() would go through all that is remembered
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > self.memo:
+            self.known.clear()
+            new = wanted
+        self.learn(new)
+        get = self.known.__getitem__
         for c in chunks:
             yield b"".join(map(get, c))
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -72,3 +73,12 @@ def test_pack_reaches_the_lower_bound(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = packing.pack(docs, PATH).collect()
     assert check(rows, 4096) <= -(-sum(r["length"] for r in rows) // 4096) + 1
+
+
+def test_what_is_remembered_costs_nothing_for_further_texts():
+    ids = packing.ChunkIds(PATH, 2_000_000)
+    ids.known.update((f"chunk{i}", b"") for i in range(1_000_000))
+    want = ids.raw("Two words, twice.")
+    began = time.process_time()
+    assert all(got == want for _ in range(300) for got in ids.of(["Two words, twice."]))
+    assert time.process_time() - began < 1
