@@ -80,6 +80,24 @@ def test_pairs_inside_a_crowded_loose_group_are_found(spark, docs_of):
         assert got == {i: i - i % 2 for i in got}
 
 
+def test_no_pair_is_left_out_where_all_bands_are_crowded(spark, docs_of, monkeypatch):
+    # all texts have one band and no other, and nearly none goes to all parts; the two of a pair alone are alike: of the first
+    # 60 texts all are one loose group, dealt out by `held`, of the others a pair is a group, proposed by the dealt-out band
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(100)], []
+    for i in range(100):
+        own, more = (base + [word() for _ in range(25)], 1) if i < 30 else ([word() for _ in range(100)], 20)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, *(word() for _ in range(more))]))]
+    assert similarity(rows[0][1], rows[2][1]) < 0.8 <= similarity(rows[98][1], rows[99][1])
+    real = jaccard._prints
+    monkeypatch.setattr(jaccard, "_prints", lambda text, words: real(text, words).withField("keys", F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    for bounds in ({"crowd": 1}, {"held": 1000, "few": 0}):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs_of(*rows), **bounds).collect()}
+        assert got == {i: i - i % 2 for i, _ in rows}, (bounds, sum(got[i] != i - i % 2 for i in got))
+
+
 def test_sets_count_alike_with_and_without_bits():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200), dtype=np.uint64)) for _ in range(40)]
